@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# One word character: Java's own word class is ASCII only.
+WORD = r"[\p{L}\p{N}_]"
+
+# Line openings that mark quoted text in mail-like messages.
+QUOTE_LINE = r"^[>|]|(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from)"
+
 # The HTML entities that are replaced by name. The ampersand comes last on purpose.
 NAMED_ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
@@ -53,7 +59,7 @@ def html_unescape(c: Column) -> Column:
     codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(\d{1,6});"), 1))
     out = F.aggregate(
         codes, c, lambda text, code: F.replace(text, F.concat(F.lit("&#"), code, F.lit(";")),
-                                               F.decode(_utf8(code.cast("int")), F.lit("UTF-8"))))
+                                               F.decode(_utf8(code.cast("int")), "UTF-8")))
     for name, sign in NAMED_ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(sign))
     return out
@@ -70,11 +76,11 @@ def _utf8(code: Column) -> Column:
 
 def obfuscate_words(c: Column) -> Column:
     """Keep at most two leading and the last word characters; what lies between becomes XX."""
-    return F.regexp_replace(c, r"(?U)(\b)(\w{0,2})\w+(\w{1,3})(\b)", "$1$2XX$3$4")
+    return F.regexp_replace(c, f"({WORD}{{0,2}}){WORD}+({WORD}{{1,3}})", "$1XX$2")
 
 
 def mask_word_characters(c: Column, sign: str = "x") -> Column:
-    return F.regexp_replace(c, r"(?U)\w", sign)
+    return F.regexp_replace(c, WORD, sign)
 
 
 def characters(c: Column) -> Column:
@@ -82,30 +88,39 @@ def characters(c: Column) -> Column:
     return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
+def _once(value: Column, body) -> Column:
+    """body(value) with value computed once per row, also where body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _starts(size: Column, n: int) -> Column:
+    """0-based start positions of the runs of n that fit into size elements."""
+    last = size - n
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _run(items: Column, start: Column, n: int, glue: str) -> Column:
+    """n elements from start on, joined. Indexing is constant time; slice() would copy the array."""
+    return F.concat_ws(glue, *[F.get(items, start + i) for i in range(n)])
+
+
 def char_ngrams(c: Column, low: int, high: int) -> Column:
     """n-grams of low..high characters at every position where the longest one still fits."""
-    return F.transform(_start_blocks(c, low, high), lambda x: x)
+    return _once(characters(c), lambda letters: F.flatten(F.transform(
+        _starts(F.size(letters), high),
+        lambda t: F.array(*[_run(letters, t, n, "") for n in range(low, high + 1)]))))
+
 
+def _runs(items: Column, low: int, high: int, glue: str) -> Column:
+    def of_length(a: Column, n: int) -> Column:
+        return F.transform(_starts(F.size(a), n), lambda t: _run(a, t, n, glue))
 
-def _start_blocks(c: Column, low: int, high: int) -> Column:
-    letters = characters(c)
-    count = F.size(letters) - high + 1
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(starts, lambda t: F.transform(
-        F.array(*[F.lit(j) for j in range(low, high + 1)]),
-        lambda j: F.array_join(F.slice(letters, t, j), ""))))
+    return _once(items, lambda a: F.flatten(F.array(*[of_length(a, n) for n in range(low, high + 1)])))
 
 
 def all_char_ngrams(c: Column, low: int, high: int) -> Column:
     """n-grams of low..high characters at every position, the short ones at the tail included."""
-    letters = characters(c)
-
-    def of_length(n: int) -> Column:
-        count = F.size(letters) - n + 1
-        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda t: F.array_join(F.slice(letters, t, n), ""))
-
-    return F.flatten(F.array(*[of_length(n) for n in range(low, high + 1)]))
+    return _runs(characters(c), low, high, "")
 
 
 def keep_vocabulary(grams: Column, vocabulary: list[str]) -> Column:
@@ -115,18 +130,12 @@ def keep_vocabulary(grams: Column, vocabulary: list[str]) -> Column:
 
 def word_tokens(c: Column) -> Column:
     """Tokens of two or more word characters."""
-    return F.regexp_extract_all(c, F.lit(r"(?U)\b\w\w+\b"), 0)
+    return F.regexp_extract_all(c, F.lit(f"{WORD}{{2,}}"), 0)
 
 
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
     """Space-joined runs of low..high tokens."""
-
-    def of_length(n: int) -> Column:
-        count = F.size(tokens) - n + 1
-        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda t: F.array_join(F.slice(tokens, t, n), " "))
-
-    return F.flatten(F.array(*[of_length(n) for n in range(low, high + 1)]))
+    return _runs(tokens, low, high, " ")
 
 
 def trim_to(c: Column, width: int = 80) -> Column:
@@ -135,7 +144,7 @@ def trim_to(c: Column, width: int = 80) -> Column:
 
 
 def strip_headers(c: Column) -> Column:
-    """Drop everything up to and including the first blank line."""
+    """Drop everything up to and including the first blank line; a text without one is kept."""
     return F.when(F.locate("\n\n", c) > 0, F.substring(c, F.locate("\n\n", c) + F.lit(2), F.length(c))).otherwise(c)
 
 
@@ -143,14 +152,13 @@ def strip_quotes(c: Column) -> Column:
     """Drop quoted lines, which start with > or |, and the attribution lines above them."""
     return F.array_join(F.filter(
         F.split(c, "\n"),
-        lambda line: ~line.rlike(r"^[>|]|(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from)")), "\n")
+        lambda line: ~line.rlike(QUOTE_LINE)), "\n")
 
 
 def strip_footer(c: Column) -> Column:
     """Drop the signature: the last block set off by a blank or all-dashes line."""
     lines = F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), "\n")
-    rule = lambda line: F.regexp_replace(line, r"^[\s-]+|[\s-]+$", "") == ""
-    flags = F.transform(lines, rule)
+    flags = F.transform(lines, lambda line: line.rlike(r"^\s*-*\s*$"))
     # last separating line that is not the first line
     last = F.array_max(F.transform(flags, lambda flag, i: F.when(flag, i).otherwise(F.lit(0))))
     return F.when(last > 0, F.array_join(F.slice(lines, F.lit(1), last), "\n")).otherwise(c)
