@@ -228,9 +228,9 @@ def _(spark, sf_dir):
 
 
 @query("char_ngrams", """
-WITH c AS (SELECT string_split(text,'') AS ch FROM documents),
-g AS (SELECT unnest(flatten(list_transform(range(1, len(ch)-3+2), lambda t: list_transform([2,3], lambda j:
-      array_to_string(ch[t:t+j-1], ''))))) AS gram FROM c WHERE len(ch)>=3)
+WITH c AS (SELECT doc_id, unnest(string_split(text,'')) AS a, generate_subscripts(string_split(text,''),1) AS i FROM documents),
+l AS (SELECT a, lead(a,1) OVER w AS b, lead(a,2) OVER w AS c FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT a||b AS gram FROM l WHERE c IS NOT NULL UNION ALL SELECT a||b||c FROM l WHERE c IS NOT NULL)
 SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def _(spark, sf_dir):
     grams = F.explode(T.char_ngrams(F.col("text"), 2, 3)).alias("gram")
@@ -238,12 +238,11 @@ def _(spark, sf_dir):
 
 
 @query("char_ngrams_of_lists", """
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-c AS (SELECT doc_id, string_split(line,'') AS ch FROM l),
-g AS (SELECT doc_id, unnest(list_transform(range(1, len(ch)-1), lambda t: array_to_string(ch[t:t+2], ''))) AS gram
-      FROM c WHERE len(ch)>=3)
+WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)),1) AS k FROM documents),
+c AS (SELECT doc_id, k, unnest(string_split(line,'')) AS a, generate_subscripts(string_split(line,''),1) AS i FROM s),
+g AS (SELECT doc_id, a||lead(a,1) OVER w||lead(a,2) OVER w AS gram FROM c WINDOW w AS (PARTITION BY doc_id, k ORDER BY i))
 SELECT doc_id, count(*) AS n, sum(CASE WHEN gram IN ('the','que','der','los') THEN 1 ELSE 0 END)::BIGINT AS known
-FROM g GROUP BY doc_id""")
+FROM g WHERE gram IS NOT NULL GROUP BY doc_id""")
 def _(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
     grams = lines.select("doc_id", F.flatten(F.transform("lines", lambda s: T.char_ngrams(s, 3, 3))).alias("g"))
