@@ -20,8 +20,12 @@ def geometric_mean(columns: Sequence[Column]) -> Column:
 
 
 def rank_score(columns: Sequence[Column], groups: int) -> Column:
-    """ceil(groups * geometric mean of rank shares), at least 1."""
-    return F.greatest(F.ceil(F.lit(groups) * geometric_mean(columns)), F.lit(1)).cast("int")
+    """ceil(groups * geometric mean of rank shares), at least 1.
+
+    The product is rounded to nine places first, so that the last bit of a power cannot lift a
+    whole number into the next group.
+    """
+    return F.greatest(F.ceil(F.round(F.lit(groups) * geometric_mean(columns), 9)), F.lit(1)).cast("int")
 
 
 def euclidean(a: Column, b: Column) -> Column:

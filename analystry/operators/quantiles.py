@@ -57,9 +57,18 @@ def scalars(one_row: DataFrame) -> Column:
     return one_row.select(F.struct("*").alias("_row")).scalar()
 
 
+def quantile_values(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, Column]:
+    """The same numbers as literals, so that cuts made from them reach the scan as plain filters.
+
+    A few numbers per column are read back; what uses them does not compute them again.
+    """
+    row = quantile_table(df, columns, probabilities).first()
+    return {name: F.lit(value).cast("double") for name, value in row.asDict().items()}
+
+
 def quantile_filter(df: DataFrame, column: str, p: float, side: str = "le") -> DataFrame:
     """Keep rows on one side of the column's own quantile: le, lt, ge or gt."""
-    cut = scalars(quantile_table(df, [column], [p]))[f"{column}_q0"]
+    cut = quantile_values(df, [column], [p])[f"{column}_q0"]
     value = F.col(column)
     tests = {"le": value <= cut, "lt": value < cut, "ge": value >= cut, "gt": value > cut}
     return df.where(is_number(value) & tests[side])
@@ -69,7 +78,7 @@ def winsorize(df: DataFrame, bounds: dict[str, tuple[float, float]], suffix: str
     """Clip each column to its own low and high quantile; missing values stay missing."""
     columns = list(bounds)
     ends = sorted({p for pair in bounds.values() for p in pair})
-    cuts = scalars(quantile_table(df, columns, ends))
+    cuts = quantile_values(df, columns, ends)
     for c in columns:
         low = cuts[f"{c}_q{ends.index(bounds[c][0])}"]
         high = cuts[f"{c}_q{ends.index(bounds[c][1])}"]
@@ -100,7 +109,7 @@ def box_summary(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
 
 def robust_scale(df: DataFrame, columns: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(x - median) / (high quantile - low quantile); a zero spread divides by one."""
-    cuts = scalars(quantile_table(df, columns, [low, 0.5, high]))
+    cuts = quantile_values(df, columns, [low, 0.5, high])
     for c in columns:
         spread = cuts[f"{c}_q2"] - cuts[f"{c}_q0"]
         df = df.withColumn(c, (F.col(c).cast("double") - cuts[f"{c}_q1"])
