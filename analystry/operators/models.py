@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import classification as C
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler, VectorSlicer
+from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +65,6 @@ class RidgeClassifierModel:
 
 def linear_argmax(df: DataFrame, weights: np.ndarray, intercepts: np.ndarray, features: str, prediction: str) -> DataFrame:
     """Class index with the largest linear score, from one Arrow-batched function."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def winner(vectors: pd.Series) -> pd.Series:
         x = np.stack(vectors.to_numpy())
@@ -99,8 +98,6 @@ def online_linear(df: DataFrame, classes: int, rule: str = "perceptron", passes:
     (McDonald, Hall, Mann: Distributed training strategies for the structured perceptron, 2010).
     Stops when a pass makes no mistake.
     """
-    import pandas as pd
-
     rows = df.select(vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y")).persist()
     width = len(rows.first()["x"])
     w = np.zeros((classes, width + 1))
@@ -287,8 +284,6 @@ def discriminant_predict(df: DataFrame, model: list[dict], columns: Sequence[str
 
 def fourier_features(df: DataFrame, features: str, output: str, gamma: float, count: int = 256, seed: int = 0) -> DataFrame:
     """Random cosine features whose inner products approximate exp(-gamma |a - b|^2) (Rahimi, Recht 2007)."""
-    import pandas as pd
-
     width = len(df.select(vector_to_array(features).alias("x")).first()["x"])
     draw = np.random.default_rng(seed)
     directions = draw.normal(scale=np.sqrt(2 * gamma), size=(width, count))
@@ -311,6 +306,3 @@ def signed_weights(spark, terms: Sequence[str], coefficients: Sequence[float]) -
 
 def class_probability(column: str, k: int) -> Column:
     return vector_to_array(column)[k]
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("PCAModel",)]
