@@ -139,10 +139,19 @@ def _sparse(size, cells):
     return Vectors.sparse(size, [(c["idx"], c["weight"]) for c in cells])
 
 
-def to_vectors(weights: DataFrame, docs: DataFrame, key: str, index: DataFrame, name: str = "features") -> DataFrame:
-    """docs with one sparse vector each; a document without known terms gets an empty one."""
-    size = scalars(index.agg(F.count(F.lit(1)).cast("int").alias("n")))["n"]
-    cells = weights.join(index, "term").groupBy(key).agg(F.collect_list(F.struct("idx", "weight")).alias("_cells"))
+def to_vectors(weights: DataFrame, docs: DataFrame, key: str, index: DataFrame, name: str = "features",
+               by: Sequence[str] = ()) -> DataFrame:
+    """docs with one sparse vector each; a document without known terms gets an empty one.
+
+    With `by` the index numbers the terms of every group apart and gives their count as `size`.
+    """
+    by = list(by)
+    cells = weights.join(index, [*by, "term"]).groupBy(key).agg(F.collect_list(F.struct("idx", "weight")).alias("_cells"))
+    if by:
+        sizes = index.groupBy(*by).agg(F.max("size").cast("int").alias("_size"))
+        placed = docs.join(sizes, by)
+    else:
+        placed = docs.withColumn("_size", scalars(index.agg(F.count(F.lit(1)).cast("int").alias("n")))["n"])
     none = F.array().cast("array<struct<idx:bigint,weight:double>>")
-    joined = docs.join(cells, key, "left").withColumn("_size", size)
+    joined = placed.join(cells, key, "left")
     return joined.withColumn(name, _sparse("_size", F.coalesce("_cells", none))).drop("_cells", "_size")
