@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from analystry.functions.numeric import euclidean
+from analystry.session import cut_lineage
 
-PIVOTS = 48
+PIVOTS = 128
+ROWS_PER_PIVOT = 512
 BLOCK = 4096
 SLACK = 1e-9
 
@@ -55,13 +57,15 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_key: str, base_k
     """
     want = k + 1 if exclude_same_key else k
     spark = base.sparkSession
-    distinct = _distinct_base(base, base_key, vector, want)
+    # merged once and read several times below
+    distinct = cut_lineage(_distinct_base(base, base_key, vector, want))
     size = distinct.count()
     if size == 0:
         return spark.createDataFrame([], "query_id long, base_id long, dist double, rnk int")
-    share = min(1.0, 4.0 * PIVOTS / size)
+    wanted_pivots = max(1, min(PIVOTS, size // ROWS_PER_PIVOT))
+    share = min(1.0, 4.0 * wanted_pivots / size)
     sample = distinct.select("v") if share == 1.0 else distinct.select("v").sample(fraction=share, seed=11)
-    pivots = np.array([r["v"] for r in sample.limit(PIVOTS).collect()] or [distinct.select("v").first()["v"]])
+    pivots = np.array([r["v"] for r in sample.limit(wanted_pivots).collect()] or [distinct.select("v").first()["v"]])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,7 +73,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_key: str, base_k
             cell = d.argmin(axis=1)
             yield batch.assign(cell=cell.astype("int32"), away=d[np.arange(len(d)), cell])
 
-    placed = distinct.mapInPandas(assign, "v array<double>, ids array<long>, cell int, away double")
+    placed = cut_lineage(distinct.mapInPandas(assign, "v array<double>, ids array<long>, cell int, away double"))
     # per cell: row count, radius, and its `want` smallest distances with their id counts
     nth = F.row_number().over(Window.partitionBy("cell").orderBy("away"))
     near = (placed.select("cell", "away", F.size("ids").alias("m")).withColumn("_nth", nth)

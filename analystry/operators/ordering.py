@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,8 +71,17 @@ def range_borders(df: DataFrame, keys: Sequence[str], ranges: int | None = None)
     return borders
 
 
-def range_number(df: DataFrame, keys: Sequence[str], borders: Sequence[tuple]) -> Column:
-    """Index of the range a row falls into: how many borders lie strictly below its key."""
+def with_range(df: DataFrame, keys: Sequence[str], borders: Sequence[tuple]) -> DataFrame:
+    """df plus `_range`, the index of the range between borders that a row's key falls into."""
+    if not borders:
+        return df.withColumn("_range", F.lit(0))
+    if len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, T.NumericType):
+        splits = sorted({float(b[0]) for b in borders} - {float("inf"), float("-inf")})
+        if not splits:
+            return df.withColumn("_range", F.lit(0))
+        buckets = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_k", outputCol="_range")
+        placed = buckets.transform(df.withColumn("_k", F.col(keys[0]).cast("double"))).drop("_k")
+        return placed.withColumn("_range", F.col("_range").cast("int"))
     kinds = [df.schema[k].dataType for k in keys]
 
     def at_most(border: tuple) -> Column:
@@ -90,7 +100,7 @@ def range_number(df: DataFrame, keys: Sequence[str], borders: Sequence[tuple]) -
         middle = (low + high) // 2
         return F.when(at_most(borders[middle]), search(low, middle)).otherwise(search(middle + 1, high))
 
-    return search(0, len(borders))
+    return df.withColumn("_range", search(0, len(borders)))
 
 
 def prefix_sum(df: DataFrame, order: str, values: Mapping[str, Column], by: Sequence[str] = (),
@@ -106,7 +116,7 @@ def prefix_sum(df: DataFrame, order: str, values: Mapping[str, Column], by: Sequ
     slim = _drop_missing(df.select(*by, order, *[c.alias(f"_v_{n}") for n, c in values.items()]), [order])
     borders = range_borders(slim, [order], ranges)
     merged = slim.groupBy(*by, order).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
-    merged = merged.withColumn("_range", range_number(merged, [order], borders))
+    merged = with_range(merged, [order], borders)
     inside = Window.partitionBy(*by, "_range").orderBy(order)
     local = merged.select(
         *by, "_range", order, *names,
@@ -137,7 +147,7 @@ def ordered_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), n
     by, order = list(by), list(order)
     df = _drop_missing(df, [*by, *order])
     borders = range_borders(df, [*by, *order], ranges)
-    placed = df.withColumn("_range", range_number(df, [*by, *order], borders))
+    placed = with_range(df, [*by, *order], borders)
     inside = Window.partitionBy(*by, "_range").orderBy(*order)
     counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
     group = Window.partitionBy(*by)

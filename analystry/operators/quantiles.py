@@ -3,28 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from analystry.operators.ordering import is_number, prefix_sum
+from analystry.operators.ordering import is_number, prefix_sum, range_borders, range_count, with_range
 
 
 def grouped_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
                       by: Sequence[str] = ()) -> DataFrame:
     """One row per by-group: q0, q1, ... = linearly interpolated quantiles, plus the row count n.
 
-    Spark's `percentile` keeps every distinct value of a group in one task; here the two order
-    statistics around each position are read off running counts instead.
+    Spark's `percentile` keeps every distinct value of a group in one task. Here the rows are only
+    counted per value range; the two order statistics around each position are then looked for in
+    the few ranges that hold them, so little of the column is ever shuffled or sorted.
     """
-    typed = df.select(*by, F.col(column).cast("double").alias("_x"))
-    running = prefix_sum(typed, "_x", {"n": F.lit(1)}, by)
+    by = list(by)
+    typed = df.where(is_number(F.col(column))).select(*by, F.col(column).cast("double").alias("_x"))
+    borders = range_borders(typed, ["_x"], max(64, range_count(df)))
+    placed = with_range(typed, ["_x"], borders)
+    counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_range", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_rows").over(group).alias("n"))
+    ends = []
+    for p in probabilities:
+        position = (F.col("n") - 1) * F.lit(float(p))
+        ends += [F.floor(position), F.ceil(position)]
+    holds = [(F.col("_off") <= e) & (e < F.col("_off") + F.col("_rows")) for e in ends]
+    needed = offsets.where(reduce(lambda a, b: a | b, holds)).select(*by, "_range", "_off", "n")
+    if not by:
+        needed = F.broadcast(needed)  # at most one row per range
+    merged = placed.join(needed, [*by, "_range"]).groupBy(*by, "_range", "_off", "n", "_x").agg(
+        F.count(F.lit(1)).alias("_m"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_x")
+    running = merged.select(*by, "n", "_x", (F.sum("_m").over(inside) + F.col("_off")).alias("_cum"), "_off")
     picks = []
     for i, p in enumerate(probabilities):
-        position = (F.col("tot_n") - 1) * F.lit(float(p))
-        picks.append(F.min(F.when(F.col("cum_n") > F.floor(position), F.col("_x"))).alias(f"_lo{i}"))
-        picks.append(F.min(F.when(F.col("cum_n") > F.ceil(position), F.col("_x"))).alias(f"_hi{i}"))
-    found = running.groupBy(*by).agg(F.max("tot_n").alias("n"), *picks)
+        position = (F.col("n") - 1) * F.lit(float(p))
+        for name, end in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+            picks.append(F.min(F.when((F.col("_off") <= end) & (F.col("_cum") > end), F.col("_x"))).alias(f"_{name}{i}"))
+    found = running.groupBy(*by).agg(F.max("n").alias("n"), *picks)
     out = []
     for i, p in enumerate(probabilities):
         position = (F.col("n") - 1) * F.lit(float(p))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from analystry.functions.numeric import quadrant
 from analystry.operators.columns import fill_missing
-from analystry.operators.quantiles import min_max_scale, quantile_filter, quantile_values, winsorize
+from analystry.operators.quantiles import min_max_scale, quantile_filter, quantile_values
 
 
 def quadrant_points(df: DataFrame, key: str, x: str, y: str, size: str | None = None, mass: float = 0.0,
@@ -20,10 +20,12 @@ def quadrant_points(df: DataFrame, key: str, x: str, y: str, size: str | None =
     """
     kept = quantile_filter(df.select(key, x, y, size), size, mass, "gt") if size else df.select(key, x, y)
     kept = fill_missing(kept.withColumns({c: F.col(c).cast("double") for c in (x, y)}), [x, y])
-    cuts = quantile_values(kept, [x, y], sorted({x_cut, y_cut}))
-    order = sorted({x_cut, y_cut})
-    lines = (cuts[f"{x}_q{order.index(x_cut)}"], cuts[f"{y}_q{order.index(y_cut)}"])
-    clipped = winsorize(kept, {x: x_range, y: y_range})
+    order = sorted({x_cut, y_cut, *x_range, *y_range})
+    cuts = quantile_values(kept, [x, y], order)
+    at = lambda c, p: cuts[f"{c}_q{order.index(p)}"]
+    lines = (at(x, x_cut), at(y, y_cut))
+    clipped = kept.withColumns({c: F.least(F.greatest(F.col(c), at(c, ends[0])), at(c, ends[1]))
+                                for c, ends in ((x, x_range), (y, y_range))})
     clipped = min_max_scale(clipped, [size], "_scaled") if size else clipped.withColumn("z", F.lit(0.01))
     z = F.col(f"{size}_scaled") if size else F.col("z")
     colour = quadrant(F.col(x), F.col(y), *lines)

@@ -6,7 +6,7 @@ from analystry.functions import numeric as N
 from analystry.functions import text as T
 from analystry.operators import columns as C
 from analystry.registry.book import query, rounded
-from analystry.session import table
+from analystry.session import spread, table
 
 W = r"[\p{L}\p{N}_]"
 
@@ -234,7 +234,8 @@ g AS (SELECT a||b AS gram FROM l WHERE c IS NOT NULL UNION ALL SELECT a||b||c FR
 SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def _(spark, sf_dir):
     grams = F.explode(T.char_ngrams(F.col("text"), 2, 3)).alias("gram")
-    return table(spark, sf_dir, "documents").select(grams).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select(grams).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("char_ngrams_of_lists", """
@@ -244,7 +245,8 @@ g AS (SELECT doc_id, a||lead(a,1) OVER w||lead(a,2) OVER w AS gram FROM c WINDOW
 SELECT doc_id, count(*) AS n, sum(CASE WHEN gram IN ('the','que','der','los') THEN 1 ELSE 0 END)::BIGINT AS known
 FROM g WHERE gram IS NOT NULL GROUP BY doc_id""")
 def _(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
     grams = lines.select("doc_id", F.flatten(F.transform("lines", lambda s: T.char_ngrams(s, 3, 3))).alias("g"))
     known = T.keep_vocabulary(F.col("g"), ["the", "que", "der", "los"])
     counted = grams.select("doc_id", F.size("g").cast("long").alias("n"), F.size(known).cast("long").alias("known"))
