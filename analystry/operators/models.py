@@ -15,24 +15,26 @@ from pyspark.sql import functions as F
 
 def centred_pca(df: DataFrame, features: str, output: str, variance: float | None = None,
                 components: int | None = None) -> tuple:
-    """((mean model, pca model), projected df): centre, fit once, keep enough components.
+    """((mean model, pca model, slicer), projected df): centre, fit once, keep enough components.
 
     `variance` keeps the first components that together explain that share.
     """
     centre = StandardScaler(inputCol=features, outputCol="_centred", withMean=True, withStd=False).fit(df)
     centred = centre.transform(df)
     width = centre.mean.size
-    model = PCA(k=components or width, inputCol="_centred", outputCol=output).fit(centred)
+    model = PCA(k=components or width, inputCol="_centred", outputCol="_all").fit(centred)
+    kept = model.getK()
     if variance is not None:
-        enough = int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), variance - 1e-12)) + 1
-        enough = min(enough, width)
-        model = PCA(k=enough, inputCol="_centred", outputCol=output).fit(centred)
-    return (centre, model), model.transform(centred).drop("_centred")
+        kept = min(int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), variance - 1e-12)) + 1, width)
+    first = VectorSlicer(inputCol="_all", outputCol=output, indices=list(range(kept)))
+    models = (centre, model, first)
+    return models, apply_pca(models, df)
 
 
 def apply_pca(models: tuple, df: DataFrame) -> DataFrame:
-    centre, model = models
-    return model.transform(centre.transform(df)).drop("_centred")
+    for model in models:
+        df = model.transform(df)
+    return df.drop("_centred", "_all")
 
 
 def logistic(n: int, c: float = 1.0, **options) -> C.LogisticRegression:

@@ -11,6 +11,8 @@ PAGE_SIZE = 50
 POST_SCHEMA = ("`posts-total` long, posts array<struct<slug: string, type: string, `date-gmt`: string, "
                "`photo-url-1280`: string, photos: array<struct<`photo-url-1280`: string>>>>")
 
+MANIFEST = "slug string, url string, file string, year string, month string, day string"
+
 
 def page_ranges(posts: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """(start): the first post number of every page needed to cover all posts."""
@@ -53,8 +55,7 @@ def write_manifest(photos: DataFrame, path: str) -> None:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    schema = "slug string, url string, file string, year string, month string, day string"
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(MANIFEST).parquet(path)
 
 
 def archive(pages: DataFrame, body: str, path: str, stored: DataFrame | None = None) -> DataFrame:

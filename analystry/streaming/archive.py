@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from analystry.plans.archive import photos_of, posts_of
+from analystry.plans.archive import MANIFEST, new_photos, photos_of, posts_of, read_manifest, write_manifest
 
 
-def archive_stream(spark: SparkSession, source: str, target: str, checkpoint: str, lateness: str = "30 days"):
-    """Read every new page file below source, append photos not seen before to target, then stop.
+def archive_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> DataFrame:
+    """Read every new page file below source, add photos that target lacks, stop, and return the manifest.
 
-    A photo seen again is dropped within the lateness bound of its post date, which also bounds the
-    state kept.
+    The manifest itself says what is stored, so no growing state is kept, posts may arrive in any
+    order, and a batch that runs again after a failure adds nothing twice.
     """
+    write_manifest(spark.createDataFrame([], MANIFEST), target)  # lets the first batch read it
+
+    def add(batch: DataFrame, _number: int) -> None:
+        session = batch.sparkSession
+        write_manifest(new_photos(photos_of(posts_of(batch, "value")), read_manifest(session, target)), target)
+
     pages = spark.readStream.schema("value string").option("wholetext", "true").text(source)
-    photos = photos_of(posts_of(pages, "value"))
-    dated = photos.withColumn("posted", F.make_timestamp(
-        F.col("year").cast("int"), F.col("month").cast("int"), F.col("day").cast("int"), F.lit(0), F.lit(0), F.lit(0)))
-    once = dated.withWatermark("posted", lateness).dropDuplicatesWithinWatermark(["slug", "file"])
-    started = (once.drop("posted").writeStream.format("parquet").partitionBy("year", "month", "day")
-               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target))
-    started.awaitTermination()
-    return spark.read.schema("slug string, url string, file string, year string, month string, day string").parquet(target)
+    running = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return read_manifest(spark, target)
