@@ -180,7 +180,7 @@ def answer_pages(spark, sf_dir):
     total = e.agg(F.count(F.lit(1)).alias("n"))
     grouped = e.groupBy((F.floor(F.col("event_id") / 50) * 50).alias("start")).agg(F.collect_list(post).alias("posts"))
     body = F.to_json(F.struct(scalars(total)["n"].alias("posts-total"), "posts"))
-    return grouped.select("start", F.concat(F.lit("  var tumblr_api_read = "), body, F.lit(";\n")).alias("body"))
+    return grouped.select("start", F.concat(F.lit("  var blog_api_answer = "), body, F.lit(";\n")).alias("body"))
 
 
 PHOTOS = """photos AS (

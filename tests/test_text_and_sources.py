@@ -54,7 +54,7 @@ def test_word_ngrams(spark):
 
 
 def test_jsonp(spark):
-    page = 'var tumblr_api_read = {"posts":[{"slug":"x"}]};'
+    page = 'var blog_api_answer = {"posts":[{"slug":"x"}]};'
     df = spark.createDataFrame([(page,)], "body string")
     assert [r["slug"] for r in A.posts_of(df, "body").collect()] == ["x"]
 
@@ -107,7 +107,7 @@ def test_collection_of_problems(spark, tmp_path):
 
 
 def test_archive_skips_what_is_stored(spark, tmp_path):
-    page = "var tumblr_api_read = " + json.dumps({"posts-total": 1, "posts": [
+    page = "var blog_api_answer = " + json.dumps({"posts-total": 1, "posts": [
         {"slug": "s", "type": "photo", "date-gmt": "2020-02-03 1:00", "photo-url-1280": "http://h/a.jpg",
          "photos": [{"photo-url-1280": "http://h/x/b.jpg"}]},
         {"slug": "q", "type": "text", "date-gmt": "2020-02-04", "photos": [{"photo-url-1280": "http://h/no.jpg"}]}]}) + ";"
@@ -123,7 +123,7 @@ def test_stream_drops_a_photo_seen_again(spark, tmp_path):
     from analystry.streaming.archive import archive_stream
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     os.makedirs(source)
-    body = "var tumblr_api_read = " + json.dumps({"posts": [
+    body = "var blog_api_answer = " + json.dumps({"posts": [
         {"slug": "s", "type": "text", "date-gmt": "2020-02-03", "photo-url-1280": "http://h/a.jpg"}]}) + ";"
     for i in range(2):
         with open(os.path.join(source, f"{i}.txt"), "w") as f:
