@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from analystry.llm import mixing, urls
+from analystry.llm import bpe, minhash, mixing, pii, urls
 from analystry.session import table
 
 QUERIES = {}
@@ -19,6 +19,13 @@ def query(name: str, sql: str | None = None):
     return enter
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """The installed vocabulary file of that name; it is there on every machine and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _like(glob: str) -> str:
     """A glob as a regular expression of the SQL engine."""
     out, k = "", 0
@@ -81,3 +88,18 @@ FROM laid LEFT JOIN slots USING (place), block"""
 @query("op7_source_mix", MIX_SQL)
 def op7(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op3_bpe_tokens")
+def op3(spark, sf_dir, vocabulary: str | None = None):
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary or tokenizer_file())
+
+
+@query("op5_personal_data")
+def op5(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op8_near_duplicates")
+def op8(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
