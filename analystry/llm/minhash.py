@@ -3,9 +3,9 @@
 Texts with equal sets of word shingles form a class, and one signature stands for the class. Signatures that agree in a
 band are candidates. Candidates are compared batch by batch; under a uniform prior for the similarity, a pair goes as soon as
 the posterior probability of reaching the threshold falls below the chosen miss probability. Survivors are verified on the
-full sets. Two sweeps over the buckets find the components: the first verifies each class's most similar partners, the
-second every surviving pair that still joins two components, so that no link between components is left out and no bucket
-is written out as pairs.
+full sets. Two sweeps over the buckets find the components. The first verifies each class's most similar partners; the second
+marks the classes with surviving pairs that still join two components, brings their full sets into the buckets, and verifies every
+such pair there. So no link between components is left out, and no bucket is written out as pairs.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ FIRST_PARTNERS = 2
 BLOCK = 512
 #: Shingles hashed at a time.
 CHUNK = 4096
+#: What rows that meet have in common: band, its key, and the two blocks.
+BUCKET = ("band", "key", "low", "high")
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -151,20 +153,8 @@ def _best_partners(i: np.ndarray, j: np.ndarray, equal: np.ndarray, most: int) -
     return np.unique(pair[order[rank < most]])
 
 
-def _sweep(percent: int, across: bool):
-    """Rows (band, key, low, high, side, id, component, sketch), ordered by bucket, to candidate pairs (a, b)."""
-
-    def bucket_pairs(rows: pa.Table) -> pa.RecordBatch:
-        columns = [rows.column(c).to_numpy() for c in ("band", "key", "low", "high", "side", "id", "component")]
-        band, key, low, high, side, ids, component = columns
-        new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(ids), HASHES)
-        i, j, equal = survivors(np.cumsum(new), band, low != high, side, component, sketch, percent, across)
-        if not across and len(i):
-            chosen = _best_partners(i, j, equal, FIRST_PARTNERS)
-            i, j = i[chosen], j[chosen]
-        a, b = ids[i], ids[j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _by_bucket(work):
+    """Arrow rows ordered by (band, key, low, high) to work(table of whole buckets), a batch's worth of buckets at a time."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -173,17 +163,86 @@ def _sweep(percent: int, across: bool):
                 continue
             rows = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, rows]) if held is not None else rows
-            key = [held.column(c).to_numpy() for c in ("band", "key", "low", "high")]
+            key = [held.column(c).to_numpy() for c in BUCKET]
             last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
             if len(last):
-                yield bucket_pairs(held.slice(0, last[-1] + 1))
+                yield work(held.slice(0, last[-1] + 1))
                 held = held.slice(last[-1] + 1)
         if held is not None:
-            yield bucket_pairs(held)
+            yield work(held)
 
     return sweep
 
 
+def _surviving(rows: pa.Table, percent: int, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    band, key, low, high, side, component = (rows.column(c).to_numpy() for c in (*BUCKET, "side", "component"))
+    new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(rows.num_rows, HASHES)
+    return survivors(np.cumsum(new), band, low != high, side, component, sketch, percent, across)
+
+
+def _partners(percent: int):
+    """Whole buckets to pairs (a, b): each row's FIRST_PARTNERS most similar survivors."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        i, j, equal = _surviving(rows, percent, False)
+        chosen = _best_partners(i, j, equal, FIRST_PARTNERS) if len(i) else i
+        ids = rows.column("id").to_numpy()
+        a, b = ids[i[chosen]], ids[j[chosen]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return work
+
+
+def _marks(percent: int):
+    """Whole buckets to their rows that survive with a row of another component, without signatures."""
+    names = (*BUCKET, "side", "id", "component")
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        i, j, _ = _surviving(rows, percent, True)
+        marked = np.unique(np.concatenate([i, j]))
+        return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[marked]) for c in names], list(names))
+
+    return work
+
+
+def _exact_links(percent: int):
+    """Whole buckets of marked rows with their shingle sets to links (a, b), a forest of each batch's buckets."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        i, j, equal = _surviving(rows, percent, True)
+        ids, component, packed = rows.column("id").to_numpy(), rows.column("component").to_numpy(), rows.column("shingles")
+        parent: dict[int, int] = {}
+
+        def root(node: int) -> int:
+            while parent.get(node, node) != node:
+                parent[node] = parent.get(parent[node], parent[node])
+                node = parent[node]
+            return node
+
+        links = []
+        for k in np.argsort(-equal, kind="stable").tolist():
+            a, b = root(int(component[i[k]])), root(int(component[j[k]]))
+            if a == b:
+                continue
+            x, y = (np.frombuffer(packed[int(n)].as_buffer(), np.uint64) for n in (i[k], j[k]))
+            if similar(x, y, percent):
+                parent[max(a, b)] = min(a, b)
+                links.append((int(ids[i[k]]), int(ids[j[k]])))
+        left, right = zip(*links) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return work
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _bucket_rows(classes: DataFrame) -> DataFrame:
     """(band, key, digest, n) of classes whose band key another class has too."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
@@ -193,8 +252,8 @@ def _bucket_rows(classes: DataFrame) -> DataFrame:
     return keys.join(shared, ["band", "key"])
 
 
-def _candidates(members: DataFrame, classes: DataFrame, components: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs that one sweep over all buckets leaves."""
+def _placed(members: DataFrame, classes: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Bucket members with signature and component, ordered by bucket; buckets above BLOCK are cut into pairs of blocks."""
     labelled = members.join(classes, "digest")
     if components is None:
         labelled = labelled.withColumn("component", F.col("id"))
@@ -205,23 +264,27 @@ def _candidates(members: DataFrame, classes: DataFrame, components: DataFrame |
     placed = labelled.withColumn("side", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = placed.select("band", "key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "id", "component", "sketch")
-    bucket = ["band", "key", "low", "high"]
-    return rows.repartition(*bucket).sortWithinPartitions(*bucket, "id").mapInArrow(_sweep(percent, components is not None), "a long, b long").distinct()
+    return _in_buckets(rows)
+
+
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "id")
+
+
+def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles) of the wanted ids."""
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(small_side(wanted), "id")
+    return texts.dropDuplicates(["id", "text"]).mapInArrow(_sets, "id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union of their full shingle sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(small_side(wanted), "id")
-    sets = texts.dropDuplicates(["id", "text"]).mapInArrow(_sets, "id long, shingles binary")
+    sets = _shingles_of(docs, pairs.select("a").unionAll(pairs.select("b")).select(F.col("a").alias("id")).distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                    for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
             chosen = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(chosen), batch.column("b").take(chosen)], ["a", "b"])
 
@@ -249,10 +312,15 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     classes = _written(sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     members = _written(_bucket_rows(classes), "buckets")
-    first = _written(_verified(_written(_candidates(members, classes, None, percent), "pairs"), rows, percent), "links")
+    pairs = _placed(members, classes, None).mapInArrow(_by_bucket(_partners(percent)), "a long, b long").distinct()
+    first = _written(_verified(_written(pairs, "pairs"), rows, percent), "links")
     components = _written(connected_components(first), "components")
-    second = _written(_candidates(members, classes, components, percent), "pairs")
-    later = _verified(second, rows, percent)
+    marks = "band int, key long, low int, high int, side int, id long, component long"
+    marked = _written(_placed(members, classes, components).mapInArrow(_by_bucket(_marks(percent)), marks), "marked")
+    sets = _shingles_of(rows, marked.select("id").distinct())
+    exact = _in_buckets(marked.join(classes.select("id", "sketch"), "id").join(sets, "id").select(
+        *BUCKET, "side", "id", "component", "sketch", "shingles"))
+    later = exact.mapInArrow(_by_bucket(_exact_links(percent)), "a long, b long")
     links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later)
     final = _written(connected_components(_written(links, "links")), "components")
     named = classes.select("digest", "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select(
