@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from analystry.llm import bpe, minhash, mixing, pii, urls
+from pyspark.sql import functions as F
+
+from analystry.llm import bpe, minhash, mixing, passages, pii, quality, topk, toxicity, urls, vectors
 from analystry.session import table
 
 QUERIES = {}
@@ -103,3 +105,54 @@ def op5(spark, sf_dir):
 @query("op8_near_duplicates")
 def op8(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+TOPK_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10"""
+
+
+@query("op2_top_matches", TOPK_SQL)
+def op2(spark, sf_dir):
+    return topk.best_matches(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_quality")
+def op6(spark, sf_dir):
+    return quality.quality_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_repeated_passages")
+def op9(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+LINKS_SQL = """
+WITH RECURSIVE rows AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v, label IS NOT NULL AND embedding IS NOT NULL
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM rows a JOIN rows b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.usable AND b.usable AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (SELECT vec_id AS node, vec_id AS other FROM rows UNION SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a),
+least AS (SELECT node, min(other) AS component_id FROM reached GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM rows JOIN least ON node = vec_id LEFT JOIN counted ON a = vec_id"""
+
+
+@query("op10_near_vectors", LINKS_SQL)
+def op10(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
