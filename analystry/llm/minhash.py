@@ -328,3 +328,18 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     joined = sketched.select("doc_id", "n_shingles", "digest").join(_written(named, "named"), "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+    """`docs` with all its columns and one document of each component: the one with the smallest doc_id.
+
+    Of rows that repeat a kept doc_id one stays. Rows without doc_id cannot be told apart and stay.
+    """
+    judged = _written(near_duplicates(docs, percent).select("doc_id", "kept"), "kept")
+    dropped = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    out = docs.join(small_side(dropped.where("NOT kept").select(F.col("doc_id").cast("long").alias("gone"))), F.col("doc_id") == F.col("gone"), "left_anti")
+    repeated = dropped.where("kept AND n > 1").select(F.col("doc_id").alias("again"))
+    if repeated.isEmpty():
+        return out
+    again = F.col("doc_id") == F.col("again")
+    return out.join(small_side(repeated), again, "left_anti").unionByName(out.join(small_side(repeated), again, "left_semi").dropDuplicates(["doc_id"]))

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from analystry.llm.lookups import small_side
 from analystry.session import scratch_path
 
 WEIGHTS = (5, 2, 1)
@@ -153,5 +154,5 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES) -> Dat
     taken = mix_documents(docs, weights, most).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     often = taken.where("size > 0").select(F.col("doc_id").alias("mixed_id"), times.alias("times")).where("times > 0")
-    joined = docs.join(often, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    joined = docs.join(small_side(often), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])

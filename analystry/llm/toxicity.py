@@ -225,3 +225,17 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return spread(rows).mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int, segment_score double, segment_start int, segment_end int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`docs` with all its columns, without the documents that are predicted to be toxic. Texts are read in place, not joined."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model = sent.value
+            terms = [model.terms(*model.segments(text)) for text in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            keep = model.probability(np.array(terms).reshape(len(terms), 2)) < 0.5
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)
