@@ -39,13 +39,16 @@ LOOK_ALIKES |= {ord(c): "" for c in INVISIBLE}
 
 DIGIT_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT = "zero|one|two|three|four|five|six|seven|eight|nine"
+_LABEL = "[A-Za-z0-9-]{1,63}"
+#: What a domain told in words must end in, so that "look at the dot on it" is none.
+_ENDINGS = "com|org|net|edu|gov|io|info|biz|co|uk|eu|us|de|fr|es|it|ch|at|example"
 _STRANGE = "[" + "".join(re.escape(chr(c)) for c in LOOK_ALIKES) + "]"
 
 #: Pieces that are rewritten; at most three blanks around a sign, so that long runs of blanks stay linear.
 DISGUISE = re.compile(
     rf"(?P<strange>{_STRANGE})"
-    r"|(?P<at>(?<![ \t])[ \t]{0,3}[\[({<][ \t]{0,2}(?:at|@)[ \t]{0,2}[\])}>][ \t]{0,3}|(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]{1,63}(?: dot |[ ]?[\[({<][ ]?dot)))"
-    r"|(?P<dot>(?<![ \t])[ \t]{0,3}[\[({<][ \t]{0,2}(?:dot|\.)[ \t]{0,2}[\])}>][ \t]{0,3}|(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9-]))"
+    rf"|(?P<at>(?<![ \t])[ \t]{{0,3}}[\[({{<][ \t]{{0,2}}(?:at|@)[ \t]{{0,2}}[\])}}>][ \t]{{0,3}}|(?<=[A-Za-z0-9]) at (?={_LABEL}(?: dot {_LABEL}){{0,4}} dot (?:{_ENDINGS})\b))"
+    rf"|(?P<dot>(?<![ \t])[ \t]{{0,3}}[\[({{<][ \t]{{0,2}}(?:dot|\.)[ \t]{{0,2}}[\])}}>][ \t]{{0,3}}|(?<=[A-Za-z0-9]) dot (?=(?:{_LABEL} dot ){{0,4}}(?:{_ENDINGS})\b|(?:{_DIGIT})\b|[0-9]))"
     rf"|(?P<plus>\bplus (?=(?:{_DIGIT}|[0-9])))"
     rf"|(?P<digit>\b(?:{_DIGIT})\b(?:[ -](?=(?:{_DIGIT})\b))?)",
     re.IGNORECASE)

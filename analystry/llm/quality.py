@@ -65,10 +65,10 @@ class Evidence:
     """A ridge-penalised logistic curve, less the base rate: the log-odds that a document's own shape adds."""
 
     def __init__(self, shapes: np.ndarray, good: np.ndarray):
-        design = _design(shapes)
+        design = _design(shapes if len(shapes) else np.zeros((1, len(FEATURES))))
         self.mean, self.spread = design.mean(axis=0), design.std(axis=0) + 1e-9
         self.mean[0], self.spread[0] = 0.0, 1.0
-        design = (design - self.mean) / self.spread
+        design = ((design - self.mean) / self.spread)[:len(shapes)]
         rate = (good.sum() + 0.5) / (len(good) + 1)
         self.base = float(np.log(rate / (1 - rate)))
         self.weight = np.zeros(design.shape[1])
