@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).unionByName(
         own.select(F.col("u").alias("node"), F.col("v").alias("component")).join(edges.select(F.col("u").alias("node")), "node", "left_anti"))
     return nodes.unionByName(roots.distinct())
+
+
+def local_components(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Least place of each place's component, for links between places within one task."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        np.minimum.at(new, label[left], low)
+        np.minimum.at(new, label[right], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from analystry.llm.components import connected_components
+from analystry.llm.components import connected_components, local_components
 from analystry.llm.lookups import small_side
 from analystry.session import scratch_path, spread
 
@@ -38,6 +38,8 @@ FIRST_PARTNERS = 2
 BLOCK = 512
 #: Shingles hashed at a time.
 CHUNK = 4096
+#: Pairs of a bucket below which sets are compared one by one, and bits that are compared at a time above that.
+FEW_PAIRS, COLUMNS = 32, 1 << 15
 #: What rows that meet have in common: band, its key, and the two blocks.
 BUCKET = ("band", "key", "low", "high")
 
@@ -207,34 +209,54 @@ def _marks(percent: int):
 
 
 def _exact_links(percent: int):
-    """Whole buckets of marked rows with their shingle sets to links (a, b), a forest of each batch's buckets."""
+    """Whole buckets of marked rows with their shingle sets to links (a, b) between components, a forest for each bucket."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
-        i, j, equal = _surviving(rows, percent, True)
-        ids, component, packed = rows.column("id").to_numpy(), rows.column("component").to_numpy(), rows.column("shingles")
-        parent: dict[int, int] = {}
-
-        def root(node: int) -> int:
-            while parent.get(node, node) != node:
-                parent[node] = parent.get(parent[node], parent[node])
-                node = parent[node]
-            return node
-
-        links = []
-        for k in np.argsort(-equal, kind="stable").tolist():
-            a, b = root(int(component[i[k]])), root(int(component[j[k]]))
-            if a == b:
-                continue
-            x, y = (np.frombuffer(packed[int(n)].as_buffer(), np.uint64) for n in (i[k], j[k]))
-            if similar(x, y, percent):
-                parent[max(a, b)] = min(a, b)
-                links.append((int(ids[i[k]]), int(ids[j[k]])))
-        left, right = zip(*links) if links else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        i, j, _ = _surviving(rows, percent, True)
+        order = np.argsort(i, kind="stable")  # rows are ordered by bucket, and so are pairs by their first row
+        i, j = i[order], j[order]
+        component, packed = rows.column("component").to_numpy(), rows.column("shingles")
+        key = np.column_stack([rows.column(c).to_numpy() for c in BUCKET])
+        starts = np.flatnonzero(np.r_[len(i) > 0, (key[i[1:]] != key[i[:-1]]).any(axis=1), len(i) > 0]) if len(i) else []
+        links = [np.zeros((0, 2), np.int64)]
+        for low, high in zip(starts[:-1], starts[1:]):
+            used, at = np.unique(np.concatenate([i[low:high], j[low:high]]), return_inverse=True)
+            sets = [np.frombuffer(packed[int(n)].as_buffer(), np.uint64) for n in used]
+            left, right = at[:high - low], at[high - low:]
+            linked = similar_pairs(sets, left, right, percent)
+            nodes, place = np.unique(component[used], return_inverse=True)
+            label = local_components(place[left[linked]], place[right[linked]], len(nodes))
+            joined = np.flatnonzero(label != np.arange(len(nodes)))
+            links.append(np.column_stack([nodes[joined], nodes[label[joined]]]))
+        links = np.concatenate(links)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     return work
 
 
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (left, right) of sorted sets have 100 * intersection >= percent * union.
+
+    Shingles that two sets or more hold become bits, COLUMNS at a time; a pair's intersection is the count of its common bits.
+    """
+    if len(left) < FEW_PAIRS:
+        return np.array([similar(sets[a], sets[b], percent) for a, b in zip(left, right)], bool)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    owner, column = owner[shared], (np.cumsum(held > 1) - 1)[column[shared]]
+    both = np.zeros(len(left), np.int64)
+    for first in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        part = (column >= first) & (column < first + COLUMNS)
+        bits = np.zeros((len(sets), COLUMNS), bool)
+        bits[owner[part], column[part] - first] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        for k in range(0, len(left), 1024):
+            both[k:k + 1024] += np.bitwise_count(words[left[k:k + 1024]] & words[right[k:k + 1024]]).sum(axis=1, dtype=np.int64)
+    return 100 * both >= percent * (sizes[left] + sizes[right] - both)
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union of two sorted sets."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):

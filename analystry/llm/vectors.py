@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from analystry.llm.components import connected_components
+from analystry.llm.components import connected_components, local_components
 from analystry.session import scratch_path
 
 LEAST_COSINE = 0.93
@@ -111,22 +111,6 @@ def traversal(first: list[float], second: list[float], most: float) -> Iterator[
             heapq.heappush(queue, (first[i + 1] + second[0], i + 1, 0))
 
 
-def local_components(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
-    """Least place of each place's component, for links between places."""
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        np.minimum.at(new, label[left], low)
-        np.minimum.at(new, label[right], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _links(least: float):
     """Rows ordered by (site, block, visitor), members of a block before its visitors, to counts and spanning links.
 

@@ -119,6 +119,19 @@ def test_near_duplicates_in_many_blocks(documents, prose, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in minhash.near_duplicates(documents(rows)).collect()} == brute.near_duplicates(rows)
 
 
+def test_bits_count_like_sets(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 62, 400, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(300, 400), replace=False), rng.integers(0, 1 << 62, 20, dtype=np.uint64)])) for _ in range(30)]
+    left, right = np.triu_indices(30, 1)
+    want = [minhash.similar(sets[a], sets[b], 75) for a, b in zip(left, right)]
+    assert any(want) and not all(want) and minhash.similar_pairs(sets, left, right, 75).tolist() == want
+    monkeypatch.setattr(minhash, "COLUMNS", 128)
+    assert minhash.similar_pairs(sets, left, right, 75).tolist() == want
+    monkeypatch.setattr(minhash, "FEW_PAIRS", 10**6)
+    assert minhash.similar_pairs(sets, left, right, 75).tolist() == want
+
+
 def test_near_duplicates_of_nothing(documents):
     assert minhash.near_duplicates(documents([])).count() == 0
     assert [tuple(r) for r in minhash.near_duplicates(documents([(None, "a b"), (None, "a b")])).collect()] == [(None, 1, None, False)] * 2
