@@ -2,7 +2,8 @@
 
 The tree grows breadth first. Rows carry the number of their node, so one grouped pass serves all
 nodes of a level: one for the correlations, then one per Newton step for the sums that the
-two-parameter fits need. Only per-node numbers, at most 2^depth of them, reach the driver.
+two-parameter fits need. Only per-node numbers reach the driver. Without `maxDepth` a node is split until it is
+pure or its fit puts all rows on one side, so nodes are numbered as they come and their paths are kept as text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from analystry.session import cut_lineage
 
 NODE_SCHEMA = ("node_id long, parent long, depth int, type string, index int, coef double, intercept double, "
-               "value double, rows long")
+               "value double, rows long, path string, left long")
+
+NO_LIMIT = -1
 
 
 def _probability(z):
@@ -32,17 +35,17 @@ class _Columns(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol)
 
 
 class LogisticTree(Estimator, _Columns):
-    """Two-class tree; `maxDepth` and `minRows` bound it, C is the usual inverse L2 strength of a node's fit."""
+    """Two-class tree; `maxDepth` (no limit by default) and `minRows` bound it, C is the usual inverse L2 strength of a node's fit."""
 
-    maxDepth = Param(Params._dummy(), "maxDepth", "deepest level that is still split", TypeConverters.toInt)
+    maxDepth = Param(Params._dummy(), "maxDepth", "deepest level, -1 for no limit", TypeConverters.toInt)
     minRows = Param(Params._dummy(), "minRows", "nodes with fewer rows are not split", TypeConverters.toInt)
     c = Param(Params._dummy(), "c", "inverse L2 strength", TypeConverters.toFloat)
 
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 probabilityCol="probability", maxDepth=8, minRows=2, c=1.0):
+                 probabilityCol="probability", maxDepth=NO_LIMIT, minRows=2, c=1.0):
         super().__init__()
-        self._setDefault(maxDepth=8, minRows=2, c=1.0)
+        self._setDefault(maxDepth=NO_LIMIT, minRows=2, c=1.0)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "LogisticTreeModel":
@@ -50,42 +53,51 @@ class LogisticTree(Estimator, _Columns):
         rows = cut_lineage(dataset.select(
             vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("int").alias("y"),
             F.lit(1).cast("long").alias("node")))
-        nodes = []
-        for depth in range(deepest + 1):
+        nodes, unconverged, depth = [], [], 0
+        known = {1: (None, "1")}  # of the nodes of this level: parent and path
+        following = 2
+        while True:
             counts = {r["node"]: (r["n"], r["s"]) for r in
                       rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).collect()}
             if not counts:
                 break
             mixed = {k: v for k, v in counts.items() if 0 < v[1] < v[0]}
             chosen = self._chosen_features(rows, mixed)
-            fits = self._fit_nodes(rows, chosen, c)
+            fits, open_ = self._fit_nodes(rows, chosen, c)
+            unconverged += open_
             sides = self._predicted_ones(rows, fits)
-            splits = {}
-            for node, (n, s) in counts.items():
-                base = (node, node // 2 if node > 1 else None, depth)
+            splits, below = {}, {}
+            for node, (n, s) in sorted(counts.items()):
+                parent, path = known[node]
                 if node not in fits:
-                    nodes.append((*base, "constant", None, None, None, s / n, n))
+                    nodes.append((node, parent, depth, "constant", None, None, None, s / n, n, path, None))
                     continue
                 index, w, b = fits[node]
-                splittable = depth < deepest and n >= fewest and 0 < sides[node] < n
-                nodes.append((*base, "partial" if splittable else "complete", index, w, b, None, n))
+                splittable = (deepest == NO_LIMIT or depth < deepest) and n >= fewest and 0 < sides[node] < n
+                left = following if splittable else None
+                nodes.append((node, parent, depth, "partial" if splittable else "complete", index, w, b, None, n, path, left))
                 if splittable:
-                    splits[node] = fits[node]
+                    splits[node] = (*fits[node], left)
+                    below |= {left: (node, path + "0"), left + 1: (node, path + "1")}
+                    following += 2
             if not splits:
                 break
             rows = cut_lineage(self._with_fit(rows, splits).select(
-                "x", "y", (F.col("node") * 2 + (F.col("z") > 0).cast("long")).alias("node")))
-        return self._copyValues(LogisticTreeModel(sorted(nodes)))
+                "x", "y", (F.col("left") + (F.col("z") > 0).cast("long")).alias("node")))
+            known, depth = below, depth + 1
+        model = LogisticTreeModel(sorted(nodes))
+        model.unconverged = sorted(unconverged)
+        return self._copyValues(model)
 
     @staticmethod
     def _with_fit(rows: DataFrame, fits: dict) -> DataFrame:
-        """Rows of the given nodes with z = w * x[index] + b."""
+        """Rows of the given nodes with z = w * x[index] + b, and the first child's number where there is one."""
         spark = rows.sparkSession
-        table = spark.createDataFrame([(k, i, w, b) for k, (i, w, b) in fits.items()],
-                                      "node long, _i int, _w double, _b double")
-        joined = rows.join(F.broadcast(table), "node")  # at most 2^depth rows
+        table = spark.createDataFrame([(k, *f, *[None] * (4 - len(f))) for k, f in fits.items()],
+                                      "node long, _i int, _w double, _b double, left long")
+        joined = rows.join(F.broadcast(table), "node")  # one row per node of the level
         value = F.get("x", F.col("_i"))
-        return joined.select("x", "y", "node", value.alias("v"), (F.col("_w") * value + F.col("_b")).alias("z"))
+        return joined.select("x", "y", "node", value.alias("v"), (F.col("_w") * value + F.col("_b")).alias("z"), "left")
 
     @staticmethod
     def _chosen_features(rows: DataFrame, mixed: dict) -> dict[int, int]:
@@ -98,8 +110,8 @@ class LogisticTree(Estimator, _Columns):
         best = strength.groupBy("node").agg(F.max_by("pos", F.struct("r", "pos")).alias("pos")).collect()
         return {b["node"]: b["pos"] for b in best if b["node"] in mixed}
 
-    def _fit_nodes(self, rows: DataFrame, chosen: dict[int, int], c: float, steps: int = 40) -> dict:
-        """Newton's method for all nodes at once; the L2 term leaves the intercept free."""
+    def _fit_nodes(self, rows: DataFrame, chosen: dict[int, int], c: float, steps: int = 40) -> tuple[dict, list[int]]:
+        """Newton's method for all nodes at once; the L2 term leaves the intercept free. Also the nodes still moving at the end."""
         ridge = 1.0 / c
         trial = {k: (i, 0.0, 0.0) for k, i in chosen.items()}
         best: dict = {}
@@ -133,7 +145,7 @@ class LogisticTree(Estimator, _Columns):
                     continue
                 following[node] = (index, w - (hbb * gw - hwb * gb) / det, b - (hww * gb - hwb * gw) / det)
             pending = following
-        return {k: (i, w, b) for k, (i, w, b, _) in best.items()}
+        return {k: (i, w, b) for k, (i, w, b, _) in best.items()}, list(pending)
 
     @classmethod
     def _predicted_ones(cls, rows: DataFrame, fits: dict) -> dict[int, int]:
@@ -144,11 +156,12 @@ class LogisticTree(Estimator, _Columns):
 
 
 class LogisticTreeModel(Model, _Columns):
-    """A fitted tree; `nodes` are the rows of its node table."""
+    """A fitted tree; `nodes` are the rows of its node table, `unconverged` the nodes whose fit met the step limit."""
 
     def __init__(self, nodes: list[tuple] | None = None):
         super().__init__()
         self.nodes = nodes or []
+        self.unconverged: list[int] = []
 
     def node_table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.nodes, NODE_SCHEMA)
@@ -156,10 +169,10 @@ class LogisticTreeModel(Model, _Columns):
     def tree_lines(self, spark) -> DataFrame:
         """(path, line): the tree as text, parents before children."""
         table = self.node_table(spark)
-        path = F.bin("node_id")
+        path = F.col("path")
         text = F.concat(
             F.lpad(F.lit(""), F.col("depth") * 2, " "), F.when(F.col("node_id") == 1, "root").otherwise(
-                F.concat(F.lit("level"), F.pmod("node_id", F.lit(2)))), F.lit(" type="), F.col("type"),
+                F.concat(F.lit("level"), F.right("path", F.lit(1)))), F.lit(" type="), F.col("type"),
             F.when(F.col("index").isNotNull(), F.concat(F.lit(" index="), F.col("index"))).otherwise(
                 F.concat(F.lit(" value="), F.round("value", 6))))
         return table.select(path.alias("path"), text.alias("line")).orderBy("path")
@@ -170,12 +183,14 @@ class LogisticTreeModel(Model, _Columns):
         out = dataset.select("*", vector_to_array(self.getFeaturesCol()).alias("_x"), F.lit(1).cast("long").alias("_at"),
                              F.lit(None).cast("double").alias("_p1"))
         for depth in range(max(n[2] for n in self.nodes) + 1):
+            if depth and depth % 16 == 0:
+                out = cut_lineage(out)  # deep trees: keep plans short
             level = table.where(F.col("depth") == depth).select(
-                F.col("node_id").alias("_at"), "type", "index", "coef", "intercept", "value")
-            out = out.join(F.broadcast(level), "_at", "left")  # at most 2^depth rows
+                F.col("node_id").alias("_at"), "type", "index", "coef", "intercept", "value", "left")
+            out = out.join(F.broadcast(level), "_at", "left")  # one row per node of the level
             p = _probability(F.col("coef") * F.get("_x", F.col("index")) + F.col("intercept"))
             reached = F.when(F.col("type") == "constant", F.col("value")).when(F.col("type") == "complete", p)
-            step = F.col("_at") * 2 + (p > 0.5).cast("long")
+            step = F.col("left") + (p > 0.5).cast("long")
             out = out.select(*names, "_x", F.coalesce("_p1", reached).alias("_p1"),
                              F.when(F.col("type") == "partial", step).otherwise(F.lit(0).cast("long")).alias("_at"))
         one = F.col("_p1")

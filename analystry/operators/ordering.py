@@ -1,10 +1,10 @@
 """Globally ordered computations without a single-task window.
 
 A window ordered by x but partitioned by nothing moves every row into one task. The helpers here
-cut the ordered key range into ranges of similar size, run the window inside each range, and add
-what lies before the range. Borders are plain values held in the plan, so evaluating the plan
-twice, or again after a lost executor, gives the same ranges; they steer balance only, never the
-result.
+cut the ordered key range into ranges of similar size, work inside each range, and add what lies
+before the range. Running sums use borders that are plain values held in the plan; numbering range-partitions
+the rows once and fixes the ranges by a reliable checkpoint. Either way, evaluating again after a lost
+executor gives the same ranges; they steer balance only, never the result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from analystry.session import cut_lineage
+
 SAMPLE_PER_RANGE = 60
+#: Rows of a block whose earlier values one task looks up.
+SHIFT_BLOCK = 1 << 16
+#: monotonically_increasing_id() holds the partition above this many bits and the place in it below.
+PLACE_BITS = 33
 
 
 def range_count(df: DataFrame) -> int:
@@ -141,26 +147,31 @@ def ordered_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), n
                   total: str | None = None, ranges: int | None = None) -> DataFrame:
     """Number the rows 0, 1, 2, ... in ascending `order` (which must be unique) per by-group.
 
-    Ranges are cut on (by, order), so one hot group, or one hot leading order value, is shared
-    between many tasks. `total` adds the row count of the group.
+    NaN comes after all numbers and null last; a null group is a group. Rows are range-partitioned on (by, order)
+    and sorted once, so one hot group, or one hot leading order value, is shared between many tasks; the plan
+    does not grow with the number of ranges. `total` adds the row count of the group.
     """
     by, order = list(by), list(order)
-    df = _drop_missing(df, [*by, *order])
-    borders = range_borders(df, [*by, *order], ranges)
-    placed = with_range(df, [*by, *order], borders)
-    inside = Window.partitionBy(*by, "_range").orderBy(*order)
-    counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    keys = [F.col(k).asc_nulls_last() for k in [*by, *order]]
+    dealt = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    fixed = cut_lineage(dealt.sortWithinPartitions(*keys)).withColumn("_at", F.monotonically_increasing_id())
+    placed = fixed.withColumn("_range", F.shiftright("_at", PLACE_BITS)).withColumn(
+        "_in", F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+    counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_in").alias("_first"))
     group = Window.partitionBy(*by)
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *by, "_range",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"),
+        *[F.col(k).alias(f"_by{i}") for i, k in enumerate(by)], F.col("_range").alias("_of"),
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_off"),
         F.sum("_rows").over(group).alias("_total"))
     if not by:
         offsets = F.broadcast(offsets)  # at most one row per range
-    numbered = placed.withColumn("_in", F.row_number().over(inside)).join(offsets, [*by, "_range"])
+    same = F.col("_range") == F.col("_of")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_by{i}"))
+    numbered = placed.join(offsets, same)
     extra = [F.col("_total").alias(total)] if total else []
-    return numbered.select(*df.columns, (F.col("_in") - 1 + F.col("_off")).cast("long").alias(name), *extra)
+    return numbered.select(*df.columns, (F.col("_in") + F.col("_off")).cast("long").alias(name), *extra)
 
 
 def average_rank(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
@@ -186,13 +197,21 @@ def rank_bin(df: DataFrame, column: str, key: str, groups: int, name: str) -> Da
 
 def shift(df: DataFrame, value: str, order: Sequence[str], steps: int, name: str, fill=0,
           by: Sequence[str] = ()) -> DataFrame:
-    """Value `steps` rows earlier in the order, `fill` where there is none."""
+    """Value `steps` rows earlier in the order, `fill` where there is none.
+
+    The numbered rows are cut into blocks; the last `steps` rows of a block are handed on to the next one, so that
+    every earlier value is in the block of the row that asks for it.
+    """
     indexed = ordered_index(df, order, by, name="_i")
-    earlier = indexed.select(*by, (F.col("_i") + steps).alias("_i"), F.col(value).alias("_earlier"),
-                             F.lit(True).alias("_found"))
-    joined = indexed.join(earlier, [*by, "_i"], "left")
-    shifted = F.when(F.col("_found"), F.col("_earlier")).otherwise(F.lit(fill))
-    return joined.select(*df.columns, shifted.cast(df.schema[value].dataType).alias(name))
+    size = max(SHIFT_BLOCK, 4 * steps)
+    block = F.floor(F.col("_i") / size)
+    handed = F.pmod(F.col("_i"), F.lit(size)) >= size - steps
+    copies = F.when(handed, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dealt = indexed.withColumn("_ahead", F.explode(copies)).withColumn("_block", block + F.col("_ahead"))
+    within = Window.partitionBy(*by, "_block").orderBy("_i")
+    shifted = dealt.withColumn("_earlier", F.lag(value, steps).over(within)).where("_ahead = 0")
+    result = F.when(F.col("_i") >= steps, F.col("_earlier")).otherwise(F.lit(fill))
+    return shifted.select(*df.columns, result.cast(df.schema[value].dataType).alias(name))
 
 
 def subseries(df: DataFrame, order: Sequence[str], parts: int, window: int) -> DataFrame:

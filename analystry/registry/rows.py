@@ -205,8 +205,12 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.brazilian_number(written).cast("double").alias("v"))
 
 
+#: References that the pages hold, for the SQL; the function knows all of the standard.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&nbsp;": "\xa0", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
 def _unescape_sql(column):
-    for name, sign in T.NAMED_ENTITIES.items():
+    for name, sign in ENTITIES.items():
         column = "replace({}, '{}', '{}')".format(column, name, sign.replace("'", "''"))
     return column
 

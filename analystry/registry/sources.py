@@ -98,7 +98,12 @@ def _(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@query("split_by_hash")
+def _digits(seed: int) -> str:
+    """Ten hexadecimal digits of md5('<event_id>:<seed>') as a number."""
+    return f"CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':{seed}'), 1, 10) AS BIGINT)"
+
+
+@query("split_by_hash", f"""SELECT event_id, CASE WHEN {_digits(42)} % 100 < 40 THEN 'test' ELSE 'train' END AS subset FROM events""")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id")
     parts = [S.load_labelled(e, "event_id", s, 40, seed=42).withColumn("subset", F.lit(s)) for s in ("train", "test")]
@@ -157,12 +162,20 @@ def _(spark, sf_dir):
     return rounded(G.circles(table(spark, sf_dir, "events"), "event_id"))
 
 
-@query("blobs_over_rows")
+def _share(seed: int) -> str:
+    return f"(({_digits(seed)} + 0.5::DOUBLE) / 1099511627776.0::DOUBLE)"
+
+
+@query("blobs_over_rows", f"""SELECT event_id, {', '.join(
+    f"round((CASE WHEN {_share(0)} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) + sqrt(-2*ln({_share(1)})) * {turn}(2*pi()*{_share(2)}) + 2.0::DOUBLE * {_share(seed)}, 6) AS {name}"
+    for name, turn, seed in (('x', 'cos', 3), ('y', 'sin', 4)))},
+CASE WHEN {_share(0)} < 0.5 THEN 0 ELSE 1 END AS label FROM events""")
 def _(spark, sf_dir):
     return rounded(G.blobs(table(spark, sf_dir, "events"), "event_id", shift=2.0))
 
 
-@query("echo_series")
+@query("echo_series", f"""WITH b AS (SELECT event_id, CASE WHEN {_share(0)} < 0.5 THEN 0 ELSE 1 END AS x FROM events)
+SELECT event_id, x, coalesce(lag(x, 3) OVER (ORDER BY event_id), 0) AS y FROM b""")
 def _(spark, sf_dir):
     return G.echo_series(table(spark, sf_dir, "events"), "event_id")
 
@@ -198,7 +211,7 @@ def _(spark, sf_dir):
 
 @query("post_photos", f"""WITH {PHOTOS} SELECT strftime(ts,'%Y') AS year, strftime(ts,'%m') AS month, strftime(ts,'%d') AS day, slug, url, file FROM photos""")
 def _(spark, sf_dir):
-    return A.photos_of(A.posts_of(answer_pages(spark, sf_dir), "body"))
+    return A.photos_of(A.posts_of(answer_pages(spark, sf_dir), "body")).drop("place")
 
 
 @query("page_ranges", """SELECT unnest(generate_series(0, (SELECT count(*) FROM events)-1, 50)) AS start""")

@@ -119,7 +119,11 @@ def _(spark, sf_dir):
     return rounded(X.chi2_scores(plain(spark, sf_dir), labels, "doc_id", "lang"))
 
 
-@query("chi2_best_terms")
+@query("chi2_best_terms", f"""WITH {PLAIN}, {WEIGHTS.format(low=0.0, high=0.5)},
+y AS (SELECT doc_id, lang FROM documents), p AS (SELECT lang, count(*)::DOUBLE/(SELECT n FROM n) AS share FROM y GROUP BY lang),
+o AS (SELECT term, lang, sum(weight) AS o FROM w JOIN y USING (doc_id) GROUP BY 1,2),
+c AS (SELECT term, sum(o*o/share)/sum(o) - sum(o) AS chi2 FROM o JOIN p USING (lang) GROUP BY term ORDER BY chi2 DESC, encode(term) LIMIT 200)
+SELECT term, count(*) AS df FROM w JOIN c USING (term) GROUP BY term""")
 def _(spark, sf_dir):
     w, labels = plain(spark, sf_dir), documents(spark, sf_dir).select("doc_id", "lang")
     kept = X.select_k_best(w, X.chi2_scores(w, labels, "doc_id", "lang"), 200)

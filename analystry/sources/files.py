@@ -102,7 +102,8 @@ def load_labelled(df: DataFrame, key: str, subset: str = "all", test_percent: in
     Unlike a random split this does not change with the partitioning. `modulo` splits on
     key % 100 instead of a hash.
     """
-    slot = F.pmod(F.col(key) if modulo else F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 10)
+    slot = F.pmod(F.col(key) if modulo else F.conv(digits, 16, 10).cast("long"), F.lit(100))
     if subset == "test":
         return df.where(slot < test_percent)
     if subset == "train":

@@ -11,36 +11,35 @@ from analystry.operators.ordering import ordered_index
 from analystry.operators.quantiles import scalars
 
 
-def grid2d(points: DataFrame, x: str, y: str, steps: int, pad: float = 0.05) -> DataFrame:
-    """(cell, i, j, x, y): even steps x steps mesh over the extent of two columns, padded."""
-    ends = points.agg(F.min(x).alias("xl"), F.max(x).alias("xh"), F.min(y).alias("yl"), F.max(y).alias("yh"))
-    axis = F.sequence(F.lit(0), F.lit(steps - 1))
-    cells = ends.select("*", F.explode(axis).alias("i")).select("*", F.explode(axis).alias("j"))
+def _extent(points: DataFrame, x: str, y: str):
+    return points.agg(F.min(x).cast("double"), F.max(x).cast("double"), F.min(y).cast("double"), F.max(y).cast("double")).first()
 
-    def at(low: str, high: str, index: str) -> Column:
-        reach = (F.col(high) - F.col(low)) * pad
-        return (F.col(low) - reach) + F.col(index) * (F.col(high) - F.col(low) + 2 * reach) / (steps - 1)
 
-    return cells.select((F.col("i").cast("long") * steps + F.col("j")).alias("cell"), "i", "j",
-                        at("xl", "xh", "i").alias("x"), at("yl", "yh", "j").alias("y"))
+def _cells(points: DataFrame, rows: int, columns: int) -> DataFrame:
+    """(i, j) of a rows x columns grid, made where they are used: each task counts off its own stretch."""
+    number = F.col("id")
+    return points.sparkSession.range(rows * columns).select(F.floor(number / columns).cast("int").alias("i"), F.pmod(number, F.lit(columns)).cast("int").alias("j"))
 
 
-def mesh(points: DataFrame, x: str, y: str, step: float, margin: float = 0.5) -> DataFrame:
-    """(x, y) at a fixed step from min - margin up to, not including, max + margin."""
-    ends = points.agg(F.min(x).alias("xl"), F.max(x).alias("xh"), F.min(y).alias("yl"), F.max(y).alias("yh"))
+def grid2d(points: DataFrame, x: str, y: str, steps: int, pad: float = 0.05) -> DataFrame:
+    """(cell, i, j, x, y): even steps x steps mesh over the extent of two columns, padded."""
+    xl, xh, yl, yh = _extent(points, x, y)
 
-    def index(low: str, high: str) -> Column:
-        count = F.ceil((F.col(high) - F.col(low) + 2 * margin) / step)
-        return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    def at(low: float | None, high: float | None, index: str) -> Column:
+        low, high = F.lit(low).cast("double"), F.lit(high).cast("double")
+        reach = (high - low) * pad
+        return (low - reach) + F.col(index) * (high - low + 2 * reach) / (steps - 1)
 
-    rows = ends.select("*", index("xl", "xh").alias("i")).select("*", index("yl", "yh").alias("j"))
-    return rows.select((F.col("xl") - margin + F.col("i") * step).alias("x"),
-                       (F.col("yl") - margin + F.col("j") * step).alias("y"))
+    return _cells(points, steps, steps).select(
+        (F.col("i").cast("long") * steps + F.col("j")).alias("cell"), "i", "j", at(xl, xh, "i").alias("x"), at(yl, yh, "j").alias("y"))
 
 
-def numbered(spark: SparkSession, n: int) -> DataFrame:
-    """ids 0 ... n-1 in a fixed number of partitions, so that seeded noise is repeatable."""
-    return spark.range(0, n, 1, 8)
+def mesh(points: DataFrame, x: str, y: str, step: float, margin: float = 0.5) -> DataFrame:
+    """(x, y) at a fixed step from min - margin up to, not including, max + margin."""
+    xl, xh, yl, yh = _extent(points, x, y)
+    rows, columns = (0 if low is None else math.ceil((high - low + 2 * margin) / step) for low, high in ((xl, xh), (yl, yh)))
+    cells = _cells(points, rows, max(columns, 1))
+    return cells.select((F.lit(xl).cast("double") - margin + F.col("i") * step).alias("x"), (F.lit(yl).cast("double") - margin + F.col("j") * step).alias("y"))
 
 
 def moons(rows: DataFrame, key: str, noise: float = 0.0, seed: int = 0) -> DataFrame:
@@ -69,7 +68,7 @@ def circles(rows: DataFrame, key: str, factor: float = 0.5, noise: float = 0.0,
 
 def blobs(rows: DataFrame, key: str, noise: float = 1.0, shift: float = 0.0, seed: int = 0) -> DataFrame:
     """(key, x, y, label): one cloud per class, with an optional uniform shift of every coordinate."""
-    label = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2)).cast("int")
+    label = F.when(_uniform(key, seed) < 0.5, 0).otherwise(1)
     centre = F.when(label == 1, 1.0).otherwise(-1.0)
     out = _noisy(rows.select(key, centre.alias("x"), centre.alias("y"), label.alias("label")), noise, seed)
     if not shift:
@@ -86,9 +85,9 @@ def echo_series(rows: DataFrame, key: str, echo: int = 3, seed: int = 0) -> Data
 
 
 def _uniform(key: str, seed: int) -> Column:
-    """A number in (0, 1) that depends on key and seed only, so a recomputed task gets the same one."""
-    steps = 2 ** 40
-    return (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(steps)) + 0.5) / steps
+    """A number in (0, 1) that depends on key and seed only, so a recomputed task gets the same one: ten digits of an md5."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 10)
+    return (F.conv(digits, 16, 10).cast("long") + 0.5) / 2 ** 40
 
 
 def _noisy(df: DataFrame, noise: float, seed: int) -> DataFrame:

@@ -139,3 +139,15 @@ def test_authorship_versions_on_a_small_collection(spark):
         found = attribute(docs, [("p", "en"), ("q", "fr")], version, iterations=15, folds=2, exponents=(0,)).collect()
         assert len(found) == 6
         assert all(r["unknown-text"].startswith(r["predicted-author"]) for r in found)
+
+
+def test_tree_without_depth_limit(spark):
+    x = 2.0 ** np.arange(24)[:, None]  # every fit splits off the largest values only
+    y = np.arange(24) % 2
+    free = LogisticTree().fit(frame(spark, x, y))
+    tree = recursive_tree(x, y, 0, 60)
+    assert max(n[2] for n in free.nodes) > 5
+    got = [r["p"] for r in free.transform(frame(spark, x, y)).orderBy("id").select(M.class_probability("probability", 1).alias("p")).collect()]
+    assert np.allclose(got, [tree_probability(tree, r) for r in x], atol=1e-4)
+    ids = [n[0] for n in free.nodes]
+    assert len(ids) == len(set(ids)) and sum(n[8] for n in free.nodes if n[10] is None) == len(x)

@@ -134,3 +134,29 @@ def test_kde_integrates_to_one(spark):
     df = spark.createDataFrame([(float(v),) for v in np.random.default_rng(9).normal(size=150)], "x double")
     rows = T.kde(df, "x", 80).orderBy("g").collect()
     assert np.trapezoid([r["density"] for r in rows], [r["g"] for r in rows]) == pytest.approx(1, abs=0.01)
+
+
+def test_numbering_keeps_missing_keys_last(spark):
+    rows = [(1, 2.0, "b"), (2, None, "a"), (3, float("nan"), "a"), (4, 1.0, None), (5, -1.0, None), (6, None, None)]
+    df = spark.createDataFrame(rows, "id int, x double, g string")
+    got = {r["id"]: (r["p"], r["n"]) for r in O.ordered_index(df, ["x", "id"], name="p", total="n").collect()}
+    assert got == {5: (0, 6), 4: (1, 6), 1: (2, 6), 3: (3, 6), 2: (4, 6), 6: (5, 6)}
+    grouped = {r["id"]: (r["p"], r["n"]) for r in O.ordered_index(df, ["x", "id"], ["g"], name="p", total="n").collect()}
+    assert grouped == {1: (0, 1), 3: (0, 2), 2: (1, 2), 5: (0, 3), 4: (1, 3), 6: (2, 3)}
+
+
+def test_shift_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(O, "SHIFT_BLOCK", 4)
+    df = spark.range(0, 100).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE id * 10 END AS v", "id % 2 AS g")
+    for steps in (1, 3, 40):
+        got = {r["id"]: r["w"] for r in O.shift(df, "v", ["id"], steps, "w", fill=-1).collect()}
+        value = {k: None if k % 7 == 0 else 10 * k for k in range(100)}
+        assert got == {k: value[k - steps] if k >= steps else -1 for k in range(100)}
+        got = {r["id"]: r["w"] for r in O.shift(df, "v", ["id"], steps, "w", fill=-1, by=["g"]).collect()}
+        assert got == {k: value[k - 2 * steps] if k >= 2 * steps else -1 for k in range(100)}
+
+
+def test_plan_of_numbering_does_not_grow_with_the_ranges(spark):
+    df = spark.range(1000).selectExpr("id", "id % 10 AS x", "string(id % 3) AS g")
+    sizes = [len(O.ordered_index(df, ["x", "g", "id"], ranges=n)._jdf.queryExecution().optimizedPlan().toString()) for n in (2, 40)]
+    assert abs(sizes[0] - sizes[1]) < 200

@@ -23,6 +23,7 @@ def one(spark, value, expression):
     ("a  b c\n\n d", T.drop_long_spaces, "ab cd"),
     ("1.059,46", T.brazilian_number, "1059.46"),
     ("a &lt;b&gt; &amp;lt; &#233;&#8364;", T.html_unescape, "a <b> &lt; é€"),
+    ("&#128512; &#x1F600; &Eacute;&hearts;&nbsp;&#0;&#x110000;&notit; &bogus;", T.html_unescape, "😀 😀 É♥\xa0\ufffd\ufffd¬it; &bogus;"),
     ('<tr class="a 1"><td class="b">', T.drop_class_attribute, "<tr><td>"),
     ("x" * 81, T.trim_to, "x" * 77 + "..."),
     ("x" * 80, T.trim_to, "x" * 80),
@@ -129,3 +130,24 @@ def test_stream_drops_a_photo_seen_again(spark, tmp_path):
         with open(os.path.join(source, f"{i}.txt"), "w") as f:
             f.write(body)
         assert archive_stream(spark, source, target, state).count() == 1
+
+
+def test_archive_takes_the_main_photo_in_any_order_and_counts_new_ones(spark, tmp_path):
+    photo = {"slug": "s", "type": "photo", "date-gmt": "2012-03-04 05:06:07 GMT", "photo-url-1280": "http://main/x/a.jpg",
+             "photos": [{"photo-url-1280": "http://other/x/a.jpg"}, {"photo-url-1280": "http://other/x/b.jpg"}]}
+    body = lambda posts: "var tumblr_api_read = " + json.dumps({"posts-total": len(posts), "posts": posts}) + ";"
+    again = {**photo, "photo-url-1280": "http://third/x/a.jpg"}
+    for k, posts in enumerate(([photo, again], [again, photo])):
+        urls = A.new_photos(A.photos_of(A.posts_of(spark.createDataFrame([(body(posts),)], "b string"), "b")), None).select("file", "url").collect()
+        assert {r["file"]: r["url"] for r in urls} == {"a.jpg": "http://main/x/a.jpg", "b.jpg": "http://other/x/b.jpg"}
+    path = str(tmp_path / "manifest")
+    first = A.archive(spark.createDataFrame([(body([photo]),)], "b string"), "b", path)
+    assert [tuple(r) for r in first.collect()] == [("2012", "03", "04", 1, 2)]
+    later = {**photo, "slug": "t", "photos": []}
+    second = A.archive(spark.createDataFrame([(body([photo, later]),)], "b string"), "b", path, A.read_manifest(spark, path))
+    assert [tuple(r) for r in second.collect()] == [("2012", "03", "04", 1, 1)]
+
+
+def test_pages_are_counted_off(spark):
+    assert [r[0] for r in A.page_ranges(spark.range(120)).orderBy("start").collect()] == [0, 50, 100]
+    assert A.page_ranges(spark.range(0)).count() == 0
