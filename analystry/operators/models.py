@@ -37,6 +37,89 @@ def apply_pca(models: tuple, df: DataFrame) -> DataFrame:
     return df.drop("_centred", "_all")
 
 
+#: Rows of a block of the features x components matrix that one task adds up.
+PCA_BLOCK = 2048
+
+
+def _entries(features: str) -> Column:
+    """A vector as (indices, values); dense vectors name all their places."""
+    parts = F.unwrap_udt(features)
+    dense = F.sequence(F.lit(0), F.size(parts["values"]) - 1)
+    return F.struct(F.coalesce(parts["indices"], dense).alias("i"), parts["values"].alias("v"))
+
+
+def _covariance_times(rows: DataFrame, mean: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
+    """Covariance times basis without the covariance: each task adds up its rows' share, blocks of features are summed apart."""
+    context = rows.sparkSession.sparkContext
+    sent = context.broadcast((mean @ basis, basis))
+
+    def share(batches):
+        middle, q = sent.value
+        total, sums = np.zeros_like(q), np.zeros(q.shape[1])
+        for batch in batches:
+            for i, v in zip(batch["i"], batch["v"]):
+                z = v @ q[i] - middle
+                total[i] += np.outer(v, z)
+                sums += z
+        yield pd.DataFrame({
+            "block": np.arange(-1, -(-len(q) // PCA_BLOCK)),
+            "part": [sums.tobytes(), *[total[k:k + PCA_BLOCK].tobytes() for k in range(0, len(q), PCA_BLOCK)]]})
+
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(p) for p in parts["part"]], axis=0)
+        return pd.DataFrame({"block": parts["block"].iloc[:1], "part": [total.tobytes()]})
+
+    summed = rows.mapInPandas(share, "block int, part binary").groupBy("block").applyInPandas(added, "block int, part binary")
+    parts = {r["block"]: np.frombuffer(r["part"]) for r in summed.collect()}  # features x components numbers
+    sums = parts.pop(-1)
+    total = np.concatenate([parts[b] for b in sorted(parts)]).reshape(basis.shape)
+    return (total - np.outer(mean, sums)) / max(n - 1, 1)
+
+
+def truncated_pca(df: DataFrame, features: str, variance: float, rounds: int = 8, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, components as columns, variance shares) of the first components that explain `variance`, for wide sparse vectors.
+
+    Subspace iteration on as many directions as are needed: they are doubled until the wanted share is reached or the rank is used
+    up. Vectors stay sparse, and neither the features x features matrix nor the rows reach the driver.
+    """
+    from pyspark.ml.stat import Summarizer
+
+    seen = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(features)).alias("s")).select("s.*").first()
+    mean, n, total = seen["mean"].toArray(), seen["count"], float(seen["variance"].toArray().sum())
+    rows = df.select(_entries(features).alias("e")).select("e.i", "e.v")
+    rank = max(1, min(n - 1, len(mean)))
+    if total <= 0:
+        return mean, np.zeros((len(mean), 1)), np.zeros(1)
+    draw, k = np.random.default_rng(seed), min(32, rank)
+    basis = np.linalg.qr(draw.normal(size=(len(mean), k)))[0]
+    while True:
+        for _ in range(2 if k == rank else rounds):
+            basis = np.linalg.qr(_covariance_times(rows, mean, basis, n))[0]
+        image = _covariance_times(rows, mean, basis, n)
+        values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+        order = np.argsort(-values)
+        shares, components = np.maximum(values[order], 0) / total, basis @ turn[:, order]
+        if k == rank or shares.sum() >= variance:
+            kept = min(int(np.searchsorted(np.cumsum(shares), variance - 1e-9)) + 1, k)
+            return mean, components[:, :kept], shares[:kept]
+        more = min(2 * k, rank)
+        basis = np.linalg.qr(np.column_stack([components, draw.normal(size=(len(mean), more - k))]))[0]
+        k = more
+
+
+def project(df: DataFrame, features: str, output: str, mean: np.ndarray, components: np.ndarray) -> DataFrame:
+    """df with `output`, the centred vectors in the components' coordinates."""
+    sent = df.sparkSession.sparkContext.broadcast((mean @ components, components))
+
+    def turn(indices: pd.Series, values: pd.Series) -> pd.Series:
+        middle, c = sent.value
+        return pd.Series([v @ c[i] - middle for i, v in zip(indices, values)])
+
+    entries = _entries(features)
+    turned = F.pandas_udf(turn, "array<double>")(entries["i"], entries["v"])
+    return df.withColumn(output, array_to_vector(turned))
+
+
 def logistic(n: int, c: float = 1.0, **options) -> C.LogisticRegression:
     """L2 logistic regression whose penalty equals 1/C on the summed loss of n rows."""
     settings = {"family": "multinomial", "maxIter": 200, "tol": 1e-8, **options}

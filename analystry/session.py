@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,8 +16,11 @@ TABLES = (
 
 
 def build_session(app: str = "analystry", cores: int | str = "*", memory: str = "8g",
-                  shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench. On a cluster, pass your own session instead."""
+                  shuffle_partitions: int = 8, scratch: str | None = None) -> SparkSession:
+    """A local session for tests and the bench. On a cluster, pass your own session instead.
+
+    `scratch` is the folder for checkpoints and intermediate tables; by default a new one that goes when Python ends.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,6 +29,8 @@ def build_session(app: str = "analystry", cores: int | str = "*", memory: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", scratch or _own_folder())
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -34,13 +41,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder() -> str:
+    base = tempfile.mkdtemp(prefix="run-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a new one in local tests."""
+    """The folder every executor can reach: `spark.checkpoint.dir`; in a single JVM without that setting, a new one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="run-")
+        base = _own_folder()
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 

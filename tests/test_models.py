@@ -151,3 +151,20 @@ def test_tree_without_depth_limit(spark):
     assert np.allclose(got, [tree_probability(tree, r) for r in x], atol=1e-4)
     ids = [n[0] for n in free.nodes]
     assert len(ids) == len(set(ids)) and sum(n[8] for n in free.nodes if n[10] is None) == len(x)
+
+
+def test_wide_projection_equals_the_full_decomposition(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(4)
+    x = np.where(rng.uniform(size=(30, 2500)) < 0.02, rng.exponential(size=(30, 2500)), 0.0)
+    rows = [(k, Vectors.sparse(2500, {int(j): float(v[j]) for j in np.flatnonzero(v)}) if k % 2 else Vectors.dense(v)) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, ["id", "features"])
+    centred = x - x.mean(axis=0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    share = s ** 2 / (s ** 2).sum()
+    kept = int(np.searchsorted(np.cumsum(share), 0.9 - 1e-9)) + 1
+    mean, components, shares = M.truncated_pca(df, "features", 0.9)
+    assert components.shape == (2500, kept) and np.allclose(shares, share[:kept], atol=1e-8) and np.allclose(components.T @ components, np.eye(kept), atol=1e-9)
+    got = np.array([r["p"] for r in M.project(df, "features", "p", mean, components).orderBy("id").select(vector_to_array("p").alias("p")).collect()])
+    assert np.allclose(np.abs(got), np.abs(centred @ vt[:kept].T), atol=1e-7)
