@@ -116,14 +116,18 @@ class LogisticTree(Estimator, _Columns):
         trial = {k: (i, 0.0, 0.0) for k, i in chosen.items()}
         best: dict = {}
         pending = dict(trial)
+        # the steps need the chosen feature only: its values are written once a level
+        narrow = cut_lineage(self._with_fit(rows, trial).select("node", "y", "v")) if trial else None
         for _ in range(steps):
             if not pending:
                 break
+            now = rows.sparkSession.createDataFrame([(k, w, b) for k, (_, w, b) in pending.items()], "node long, _w double, _b double")
+            placed = narrow.join(F.broadcast(now), "node").withColumn("z", F.col("_w") * F.col("v") + F.col("_b"))  # one row per node of the level
             p = _probability(F.col("z"))
             curve = p * (1 - p)
             # log(1 + e^z) - y z without overflow
             loss = F.greatest(F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("y") * F.col("z")
-            sums = self._with_fit(rows, pending).groupBy("node").agg(
+            sums = placed.groupBy("node").agg(
                 F.sum(loss).alias("loss"), F.sum((p - F.col("y")) * F.col("v")).alias("gw"), F.sum(p - F.col("y")).alias("gb"),
                 F.sum(curve * F.col("v") * F.col("v")).alias("hww"), F.sum(curve * F.col("v")).alias("hwb"),
                 F.sum(curve).alias("hbb")).collect()

@@ -173,12 +173,12 @@ def _(spark, sf_dir):
 @query("model_logistic_tree")
 def _(spark, sf_dir):
     train, test = two_class(spark, sf_dir)
-    return hits(LogisticTree(maxDepth=3).fit(train).transform(test))
+    return hits(LogisticTree().fit(train).transform(test))
 
 
 @query("model_logistic_tree_lines")
 def _(spark, sf_dir):
-    return LogisticTree(maxDepth=2).fit(two_class(spark, sf_dir)[0]).tree_lines(spark)
+    return LogisticTree().fit(two_class(spark, sf_dir)[0]).tree_lines(spark)
 
 
 @query("model_bagged_logistic_tree")
