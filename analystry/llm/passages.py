@@ -2,7 +2,7 @@
 
 A gear rolling hash cuts every text where the last 32 bytes say so, hence a passage is cut alike in all documents but for its first
 chunks, whatever was inserted before it. Chunks are compared by digest over all documents; runs of neighbouring chunks that stand
-elsewhere too are the repeated passages.
+in other documents too are the repeated passages.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from analystry.session import scratch_path, spread
 CHUNK_LEAST, CHUNK_BITS, CHUNK_MOST = 16, 4, 96
 #: A run of repeated chunks counts from this many words. A passage of fifty words loses its first chunks, up to where the cuts agree, and
 #: part of its last; what is left of it is above this.
-LEAST_WORDS = 20
+LEAST_WORDS = 25
 #: Chunk rows that a task returns at a time.
 RETURNED = 1 << 16
 
@@ -72,7 +72,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if run and (chunk is None or chunk["start"] > run[-1]["end"]):
                     words = sum(c["words"] for c in run)
                     if words >= LEAST_WORDS:
-                        rows.append((doc_id, run[0]["start"], run[-1]["end"], words, len(run), min(c["first_doc"] for c in run), all(c["first"] for c in run)))
+                        rows.append((doc_id, run[0]["start"], run[-1]["end"], words, len(run), min(c["first_doc"] for c in run), all(c["first_doc"] == doc_id for c in run)))
                     run = []
                 if chunk is not None and not (run and chunk["start"] == run[-1]["start"]):
                     run.append(chunk)
@@ -82,11 +82,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row per passage of `docs` (doc_id, text) that stands elsewhere too: doc_id, start, end, words, chunks,
+    """One row per passage of `docs` (doc_id, text) that stands in other documents too: doc_id, start, end, words, chunks,
     first_doc_id, kept.
 
-    Places are code points of the whole text, ends exclusive. `kept` marks the passage whose chunks are all first occurrences, by
-    doc_id and place; the others may be cut out. Passages of fewer than LEAST_WORDS words in common chunks are left alone. Null and
+    Places are code points of the whole text, ends exclusive. `kept` marks the passages of the document with the
+    smallest doc_id of all that hold them; the others may be cut out. What a document repeats of itself only is left alone. Passages of fewer than LEAST_WORDS words in common chunks are left alone. Null and
     empty texts and rows without doc_id have none; rows that repeat a doc_id count as one document; an empty table gives none.
     """
     spark = docs.sparkSession
@@ -94,13 +94,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     path = scratch_path(spark, "chunks")
     rows.mapInArrow(_chunk_rows, "digest long, doc_id long, start int, end int, words int").write.parquet(path)
     chunks = spark.read.parquet(path)
-    first = F.min(F.struct("doc_id", "start"))
-    held = chunks.groupBy("digest").agg(first.alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last")
+    held = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
     shared = scratch_path(spark, "shared-chunks")
-    held.select("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")).write.parquet(shared)
+    held.select("digest", "first_doc").write.parquet(shared)
     found = chunks.join(spark.read.parquet(shared), "digest")
-    is_first = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    per_document = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "words", "first_doc", is_first.alias("first")))).alias("chunks"))
+    per_document = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "words", "first_doc"))).alias("chunks"))
     return per_document.mapInArrow(_runs, "doc_id long, start int, end int, words int, chunks int, first_doc_id long, kept boolean")
 
 
