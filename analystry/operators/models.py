@@ -382,11 +382,10 @@ def fourier_features(df: DataFrame, features: str, output: str, gamma: float, co
     return df.withColumn(output, array_to_vector(waves(vector_to_array(features))))
 
 
-def signed_weights(spark, terms: Sequence[str], coefficients: Sequence[float]) -> DataFrame:
-    """(term, side, weight): coefficients split by sign, with their absolute weight."""
-    rows = spark.createDataFrame([(t, float(c)) for t, c in zip(terms, coefficients)], "term string, coef double")
-    return rows.select("term", F.when(F.col("coef") >= 0, "positive").otherwise("negative").alias("side"),
-                       F.abs("coef").alias("weight"))
+def signed_weights(coefficients: DataFrame, coef: str = "coef") -> DataFrame:
+    """The rows with `side` and `weight` in place of the coefficient: its sign and its absolute value."""
+    side = F.when(F.col(coef) >= 0, "positive").otherwise("negative")
+    return coefficients.withColumns({"side": side, "weight": F.abs(coef)}).drop(coef)
 
 
 def class_probability(column: str, k: int) -> Column:

@@ -124,6 +124,18 @@ def _(spark, sf_dir):
     return e.join(F.broadcast(D.states(spark)), "position").select("state", "region", "n")
 
 
+@query("measure_lookup", "WITH m(position, a, b, r) AS (VALUES " + ",".join(
+    f"({5 * i + j},'{a}','{b}',{D.MEASURE_CORRELATION[i][j]}::DOUBLE)" for i, a in enumerate(D.MEASURES) for j, b in enumerate(D.MEASURES)) +
+    ") SELECT a, b, r, printf('%.0f%%', r*100) AS percent, count(*) AS n FROM events JOIN m ON user_id%25=position GROUP BY ALL")
+def _(spark, sf_dir):
+    from analystry.functions.text import percent_label
+    order = F.array(*[F.lit(x) for x in D.MEASURES])
+    position = (F.array_position(order, F.col("a")) - 1) * len(D.MEASURES) + F.array_position(order, F.col("b")) - 1
+    measures = D.measure_correlation(spark).withColumn("position", position.cast("int"))
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 25).cast("int").alias("position")).agg(F.count(F.lit(1)).alias("n"))
+    return e.join(F.broadcast(measures), "position").select("a", "b", "r", percent_label(F.col("r")).alias("percent"), "n")
+
+
 @query("note_lookup", "WITH s(position, name, freq) AS (VALUES " + ",".join(
     f"({i},'{n}',{f!r}::DOUBLE)" for i, n, f in D.note_frequencies()) +
     ") SELECT event_id, name, freq FROM events JOIN s ON (event_id+30)%108=position")

@@ -147,3 +147,16 @@ def _(spark, sf_dir):
     p = 1 / (1 + F.exp(-(F.col("value") - 10) / 10))
     df = table(spark, sf_dir, "events").select((F.col("event_type") == "click").alias("y"), p.alias("p"))
     return rounded(S.log_loss(df, "y", "p"))
+
+
+@query("two_class_argmax", """SELECT l_returnflag, CASE WHEN l_discount*10 < 0.5 THEN 1 ELSE 0 END AS predicted, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def _(spark, sf_dir):
+    from analystry.functions.numeric import two_class_argmax
+    predicted = two_class_argmax(F.col("l_discount") * 10).alias("predicted")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", predicted).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("corpus_megabytes", """SELECT lang, round(sum(strlen(text))/1e6,6) AS megabytes FROM documents GROUP BY lang""")
+def _(spark, sf_dir):
+    from analystry.functions.text import megabytes
+    return rounded(table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(megabytes(F.col("text"))).alias("megabytes")))
