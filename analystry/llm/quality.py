@@ -102,7 +102,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame) -> Evidence:
             yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([data, good]).tobytes()], pa.binary())], ["rows"])
 
     packed = spread(rows.select("doc_id", "text", "good")).mapInArrow(shapes, "rows binary")
-    data = np.concatenate([np.zeros((0, len(FEATURES) + 1), np.float32)] + [np.frombuffer(r["rows"], np.float32).reshape(-1, len(FEATURES) + 1) for r in packed.toLocalIterator()])
+    data = np.concatenate([np.zeros((0, len(FEATURES) + 1), np.float32)] + [np.frombuffer(r["rows"], np.float32).reshape(-1, len(FEATURES) + 1) for r in packed.collect()])
     data = data[np.lexsort(data.T)].astype(np.float64)  # the order in which tasks end must not show
     return Evidence(data[:, :-1], data[:, -1])
 
