@@ -54,7 +54,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES)
     fits = F.col("weight") * F.col("own_level") <= F.col("cap")
     targets = levels.withColumn("level", F.min_by(F.when(fits, F.col("own_level")), F.when(fits, F.struct(F.col("cap") / F.col("weight"), "place"))).over(every))
     targets = targets.withColumn("target", F.least("cap", F.coalesce(F.col("weight") * F.col("level"), F.col("cap"))))
-    shares = targets.withColumn("high", F.sum("target").over(Window.orderBy("place")) / F.col("total"))
+    shares = targets.withColumn("high", F.coalesce(F.try_divide(F.sum("target").over(Window.orderBy("place")), F.col("total")), F.lit(0.0)))
     last = F.max(F.when(F.col("target") > 0, F.col("place"))).over(every)
     low = F.coalesce(F.lag("high").over(Window.orderBy("place")), F.lit(0.0))
     return shares.withColumn("low", low).withColumn("high", F.when(F.col("place") == last, F.lit(2.0)).otherwise(F.col("high"))).select(
