@@ -22,10 +22,11 @@ from analystry.session import scratch_path
 LEAST_COSINE = 0.93
 #: Rows the codebooks are fitted on at most, those with the least hash; every row is indexed.
 SAMPLE_ROWS = 1 << 13
-#: Vectors of a cell, on average, and codewords of a half at most.
-CELL_ROWS, MOST_CODES = 256, 256
+#: Vectors of a cell of the largest label, on average, and codewords of a half at least and at most. A vector is copied to every cell
+#: that it visits, so cells are as large as a task takes in at once.
+CELL_ROWS, LEAST_CODES, MOST_CODES = 1024, 2, 256
 #: Vectors of a cell that meet in one task; larger cells are worked off in blocks.
-BLOCK = 2048
+BLOCK = 4096
 #: What rounding may add to a bound.
 SLACK = 1e-9
 
@@ -111,7 +112,7 @@ def traversal(first: list[float], second: list[float], most: float) -> Iterator[
             heapq.heappush(queue, (first[i + 1] + second[0], i + 1, 0))
 
 
-def _links(least: float):
+def _links(least: float, kind: str):
     """Rows ordered by (site, block, visitor), members of a block before its visitors, to counts and spanning links.
 
     Gives (a, b, edge): b links of a, or a link between a and b. Visitors come in Arrow batches and are never held together; a
@@ -132,7 +133,7 @@ def _links(least: float):
             site, block = (batch.column(c).to_numpy() for c in ("site", "block"))
             visitor = batch.column("visitor").to_numpy(zero_copy_only=False)
             ids, own, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "own", "weight"))
-            vectors = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
+            vectors = units(np.frombuffer(b"".join(batch.column("raw").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
             cuts = np.flatnonzero(np.r_[True, (site[1:] != site[:-1]) | (block[1:] != block[:-1]) | (visitor[1:] != visitor[:-1]), True])
             for low, high in zip(cuts[:-1], cuts[1:]):
                 part = slice(low, high)
@@ -181,39 +182,43 @@ def near_vectors(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataFram
     path = scratch_path(spark, "vector-classes")
     rows.where(fit).groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).write.parquet(path)
     classes = spark.read.parquet(path)
-    count, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(2))).first()
+    per_label = classes.groupBy("label", F.size("vector").alias("size")).agg(F.count("*").alias("n"))
+    count, width = per_label.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("size"), F.lit(2))).first()
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("vector").collect()
     width = max(2, width)
-    codes = int(min(MOST_CODES, max(1, round((count / CELL_ROWS) ** 0.5))))
+    codes = int(min(MOST_CODES, max(LEAST_CODES, round((count / CELL_ROWS) ** 0.5))))
     index = spark.sparkContext.broadcast(MultiIndex(units(padded([r[0] for r in sample], width)) if sample else np.zeros((0, width)), codes))
     radius2 = 2 - 2 * least
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"  # components travel as they are stored
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("vector").to_pylist()
-            unit = units(padded(vectors, width)) if vectors else np.zeros((0, width))
+            rows = padded(vectors, width)
+            unit = units(rows) if vectors else rows
             home, visits = index.value.cells_of(unit, radius2)
             yield pa.RecordBatch.from_arrays([
                 batch.column("group"), batch.column("id"), batch.column("weight"), pa.array(home.astype(np.int64)),
-                pa.array(visits, pa.list_(pa.int64())), pa.array([u.tobytes() for u in unit], pa.binary())],
-                ["group", "id", "weight", "cell", "visits", "unit"])
+                pa.array(visits, pa.list_(pa.int64())), pa.array([r.tobytes() for r in rows.astype(kind)], pa.binary())],
+                ["group", "id", "weight", "cell", "visits", "raw"])
 
     group = F.concat_ws(":", F.size("vector"), F.col("label").cast("string"))
     placed_path = scratch_path(spark, "vector-cells")
     classes.select(group.alias("group"), "id", "weight", "vector").mapInArrow(
-        place, "group string, id long, weight long, cell long, visits array<long>, unit binary").write.parquet(placed_path)
+        place, "group string, id long, weight long, cell long, visits array<long>, raw binary").write.parquet(placed_path)
     placed = spark.read.parquet(placed_path)
     cells = placed.groupBy("group", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     site = F.struct("group", "cell")
     members = placed.join(cells, ["group", "cell"]).select(
-        site.alias("at"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(False).alias("visitor"), "id", F.lit(False).alias("own"), "weight", "unit")
-    visiting = placed.select("group", F.col("cell").alias("home"), F.explode("visits").alias("cell"), "id", "weight", "unit").join(cells, ["group", "cell"])
+        site.alias("at"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(False).alias("visitor"), "id", F.lit(False).alias("own"), "weight", "raw")
+    visiting = placed.select("group", F.col("cell").alias("home"), F.explode("visits").alias("cell"), "id", "weight", "raw").join(cells, ["group", "cell"])
     visitors = visiting.select(
         site.alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"), "id",
-        (F.col("home") == F.col("cell")).alias("own"), "weight", "unit")
+        (F.col("home") == F.col("cell")).alias("own"), "weight", "raw")
     both = members.unionByName(visitors).withColumn("site", F.xxhash64("at")).repartition("at", "block").sortWithinPartitions("at", "block", "visitor", "id")
     found_path = scratch_path(spark, "vector-links")
-    both.select("site", "block", "visitor", "id", "own", "weight", "unit").mapInArrow(_links(least), "a long, b long, edge boolean").write.parquet(found_path)
+    both.select("site", "block", "visitor", "id", "own", "weight", "raw").mapInArrow(_links(least, kind), "a long, b long, edge boolean").write.parquet(found_path)
     found = spark.read.parquet(found_path)
     counts = found.where("NOT edge").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     components = connected_components(found.where("edge")).withColumnRenamed("node", "id")
