@@ -8,6 +8,7 @@ in other documents too are the repeated passages.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -62,17 +63,31 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed(held)
 
 
+def _parts(doc_id: int, run: list[dict]) -> Iterator[tuple]:
+    """A run's rows, cut where kept changes.
+
+    A passage that a smaller doc_id holds too is one stretch of chunks first seen elsewhere; a stretch below LEAST_WORDS is none and stays
+    with the chunks around it. Chunks first seen here are never in a row that is not kept; too few of them are no passage and get no row.
+    """
+    stretches = [(kept, list(part)) for kept, part in groupby(run, lambda c: c["first_doc"] == doc_id)]
+    sized = [(kept or sum(c["words"] for c in part) < LEAST_WORDS, part) for kept, part in stretches]
+    for kept, parts in groupby(sized, lambda x: x[0]):
+        held = [c for _, part in parts for c in part]
+        words = sum(c["words"] for c in held)
+        if words >= LEAST_WORDS:
+            yield doc_id, held[0]["start"], held[-1]["end"], words, len(held), doc_id if kept else min(c["first_doc"] for c in held), kept
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, sorted repeated chunks) to runs of neighbouring chunks with LEAST_WORDS words or more."""
+    """(doc_id, sorted repeated chunks) to the parts of runs of neighbouring chunks with LEAST_WORDS words or more."""
     for batch in batches:
         rows = []
         for doc_id, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             run: list[dict] = []
             for chunk in [*chunks, None]:
                 if run and (chunk is None or chunk["start"] > run[-1]["end"]):
-                    words = sum(c["words"] for c in run)
-                    if words >= LEAST_WORDS:
-                        rows.append((doc_id, run[0]["start"], run[-1]["end"], words, len(run), min(c["first_doc"] for c in run), all(c["first_doc"] == doc_id for c in run)))
+                    if sum(c["words"] for c in run) >= LEAST_WORDS:
+                        rows += _parts(doc_id, run)
                     run = []
                 if chunk is not None and not (run and chunk["start"] == run[-1]["start"]):
                     run.append(chunk)
@@ -86,7 +101,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     first_doc_id, kept.
 
     Places are code points of the whole text, ends exclusive. `kept` marks the passages of the document with the
-    smallest doc_id of all that hold them; the others may be cut out. What a document repeats of itself only is left alone. Passages of fewer than LEAST_WORDS words in common chunks are left alone. Null and
+    smallest doc_id of all that hold them; the others may be cut out. A run that mixes both is two rows
+    or more, so every chunk stays in its first document. first_doc_id is the smallest of a row's chunks, the document itself if kept. What a document repeats of itself only is left alone. Passages of fewer than LEAST_WORDS words in common chunks are left alone. Null and
     empty texts and rows without doc_id have none; rows that repeat a doc_id count as one document; an empty table gives none.
     """
     spark = docs.sparkSession

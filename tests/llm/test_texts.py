@@ -157,3 +157,23 @@ def test_repeated_passages(documents, prose):
     left = {r["doc_id"]: r["text"] for r in passages.without_repeats(docs).collect()}
     assert left[0] == text[0] and left[50] == text[50] and left[90] is None and len(left[3]) < len(text[3]) - 100 and len(left) == len(text)
     assert passages.repeated_passages(documents([])).count() == 0
+
+
+def test_every_repeated_chunk_stays_in_its_first_document(documents, prose):
+    shared, rest = prose(301, 60), prose(302, 120)
+    line = prose(303, 40)
+    rows = [(1, shared), (5, f"{shared} {rest}"), (9, f"{shared} {rest}")]
+    rows += [(20, f"{prose(304, 50)} {line} {prose(305, 50)}")] + [(k, f"{prose(306, 80)} {line} {prose(307, 80)}") for k in (22, 24, 26)]
+    rows += [(k, prose(308, 90)) for k in (30, 31)]
+    left = {r["doc_id"]: r["text"] for r in passages.without_repeats(documents(rows)).collect()}
+    assert left[1] == shared and rest[60:] in left[5] and len(left[9]) < 100
+    assert prose(306, 80) in left[22] and prose(307, 80)[60:] in left[22] and max(len(left[24]), len(left[26])) < 150
+    assert (left[30], left[31]) == (prose(308, 90), "")
+    first = {}
+    for doc_id, text in rows:
+        _, starts, ends, _ = passages.text_chunks(text)
+        for a, b in zip(starts, ends):
+            first.setdefault(text[a:b], doc_id)
+    assert all(chunk in left[doc_id] for chunk, doc_id in first.items())
+    marks = {(r["doc_id"], r["kept"]) for r in passages.repeated_passages(documents(rows)).collect()}
+    assert {(5, False), (5, True), (22, False), (22, True), (9, False), (24, False)} <= marks and (9, True) not in marks
