@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -37,16 +38,33 @@ LOOK_ALIKES |= {0xFEE0 + c: chr(c) for c in range(0x21, 0x7F)}
 INVISIBLE = "­​‌‍⁠﻿"
 LOOK_ALIKES |= {ord(c): "" for c in INVISIBLE}
 
+
+def _compatible() -> dict[int, str]:
+    """What the standard folds to ASCII letters, digits or one of `@.+-_%`, and the decimal digits of all scripts."""
+    found = {}
+    for code in range(0x80, 0x20000):
+        char = chr(code)
+        digit = unicodedata.decimal(char, None)
+        folded = str(digit) if digit is not None else unicodedata.normalize("NFKC", char)
+        if folded.isascii() and (folded.isalnum() or len(folded) == 1 and folded in "@.+-_%"):
+            found[code] = folded
+    return found
+
+
+LOOK_ALIKES = _compatible() | LOOK_ALIKES
+
 DIGIT_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT = "zero|one|two|three|four|five|six|seven|eight|nine"
 _LABEL = "[A-Za-z0-9-]{1,63}"
-#: What a domain told in words must end in, so that "look at the dot on it" is none.
+#: Endings that a spelled dot may stand before in any text; whole addresses take all endings.
 _ENDINGS = "com|org|net|edu|gov|io|info|biz|co|uk|eu|us|de|fr|es|it|ch|at|example"
-_STRANGE = "[" + "".join(re.escape(chr(c)) for c in LOOK_ALIKES) + "]"
+# Plain ASCII is turned away first, and the basic plane is a set of its own, which the engine looks up by table.
+_PLANES = ["[" + "".join(re.escape(chr(c)) for c in LOOK_ALIKES if (c > 0xFFFF) == high) + "]" for high in (False, True)]
+_STRANGE = rf"(?=[^\x00-\x7f])(?:{_PLANES[0]}|(?=[^\x00-\uffff]){_PLANES[1]})"
 
 #: Pieces that are rewritten; at most three blanks around a sign, so that long runs of blanks stay linear.
 DISGUISE = re.compile(
-    rf"(?P<strange>{_STRANGE})"
+    rf"(?P<strange>(?-i:{_STRANGE}))"
     rf"|(?P<at>(?<![ \t])[ \t]{{0,3}}[\[({{<][ \t]{{0,2}}(?:at|@)[ \t]{{0,2}}[\])}}>][ \t]{{0,3}}|(?<=[A-Za-z0-9]) at (?={_LABEL}(?: dot {_LABEL}){{0,4}} dot (?:{_ENDINGS})\b))"
     rf"|(?P<dot>(?<![ \t])[ \t]{{0,3}}[\[({{<][ \t]{{0,2}}(?:dot|\.)[ \t]{{0,2}}[\])}}>][ \t]{{0,3}}|(?<=[A-Za-z0-9]) dot (?=(?:{_LABEL} dot ){{0,4}}(?:{_ENDINGS})\b|(?:{_DIGIT})\b|[0-9]))"
     rf"|(?P<plus>\bplus (?=(?:{_DIGIT}|[0-9])))"
@@ -54,6 +72,92 @@ DISGUISE = re.compile(
     re.IGNORECASE)
 
 
+#: Whole addresses: the signs between labels, plain or in disguise. An `at` counts if a label, a dot and a label follow; a plain `@` if
+#: that dot is spelled, all else being found as it stands.
+_PART = rf"(?-i:(?:[A-Za-z0-9-]|{_STRANGE}){{1,63}})"
+_SPELLED = r"[ \t]{0,3}[\[({{<][ \t]{0,2}(?:dot|\.)[ \t]{0,2}[\])}}>][ \t]{0,3}|[ \t]{1,3}dot[ \t]{1,3}"
+AT = re.compile(
+    rf"(?P<firm>[ \t]{{0,3}}[\[({{<][ \t]{{0,2}}(?:at|@)[ \t]{{0,2}}[\])}}>][ \t]{{0,3}})(?={_PART}(?:{_SPELLED}|\.){_PART})"
+    rf"|(?P<plain>@)(?={_PART}(?:{_SPELLED}){_PART})|(?P<word> at )(?={_PART}(?:{_SPELLED}|\.){_PART})", re.IGNORECASE)
+NEXT = re.compile(rf"(?P<dot>{_SPELLED}|\.)(?P<label>{_PART})", re.IGNORECASE)
+LABEL = re.compile(_PART, re.IGNORECASE)
+BEFORE = re.compile(rf"(?:{_SPELLED})\Z", re.IGNORECASE)
+#: The longest spelled dot.
+_LONGEST = 15
+#: After `at` in a sentence these are no host, unless a known ending follows: "look at the dot on it".
+_NO_HOST = frozenset("a an any each every her his its my no our some that the their these this those what which your".split()) | frozenset(DIGIT_WORDS)
+_KNOWN = frozenset(_ENDINGS.split("|"))
+
+
+def _local(c: str) -> bool:
+    return c in LOCAL or ord(c) in LOOK_ALIKES
+
+
+def address_signs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, sign) of the at and dot signs of whole addresses told in words; any ending of two letters or more."""
+    free = 0
+    for at in AT.finditer(text):
+        if at.start() <= free:
+            continue
+        label = LABEL.match(text, at.end())
+        dots, end, names, whole = [], label.end(), [label[0].translate(LOOK_ALIKES).lower()], 0
+        while step := NEXT.match(text, end):
+            dots.append(step)
+            names.append(step["label"].translate(LOOK_ALIKES).lower())
+            end = step.end()
+            if len(names[-1]) > 1 and names[-1].isalpha() and names[-1] not in DIGIT_WORDS:
+                whole = len(dots)
+        if not whole or at.lastgroup != "firm" and whole == 1 and names[0] in _NO_HOST and names[whole] not in _KNOWN:
+            continue
+        dots = dots[:whole]
+        signs, start = [], at.start()
+        while True:
+            place = start
+            while place > free and _local(text[place - 1]):
+                place -= 1
+            if place == start:
+                break
+            dot = BEFORE.search(text, max(free, place - _LONGEST), place)
+            if dot is None or dot.start() == free or not _local(text[dot.start() - 1]):
+                break
+            signs.append((dot.start(), dot.end(), "."))
+            start = dot.start()
+        if not signs and place == start:
+            continue
+        yield from reversed(signs)
+        if at.lastgroup != "plain":
+            yield at.start(), at.end(), "@"
+        yield from ((d.start("dot"), d.end("dot"), ".") for d in dots if d["dot"] != ".")
+        free = dots[-1].end()
+
+
+def disguises(text: str) -> list[tuple[int, int, str, int]]:
+    """(start, end, what it stands for, end without blanks behind) of all pieces to rewrite, in order, none overlapping."""
+    found = []
+    for match in DISGUISE.finditer(text):
+        kind, piece, end = match.lastgroup, match[0], match.end()
+        if kind == "strange":
+            new = piece.translate(LOOK_ALIKES)
+        elif kind == "digit":
+            new, end = DIGIT_WORDS[piece.rstrip(" -").lower()], match.start() + len(piece.rstrip(" -"))
+        else:
+            new = {"at": "@", "dot": ".", "plus": "+"}[kind]
+        found.append((match.start(), match.end(), new, end))
+    signs = [(a, b, new, b) for a, b, new in address_signs(text)]
+    if not signs:
+        return found
+    # A spelled digit takes the blank behind it, which may begin a sign: the sign goes first.
+    taken, kept, k = sorted(signs), [], 0
+    for piece in found:
+        while k < len(taken) and taken[k][1] <= piece[0]:
+            k += 1
+        if k == len(taken) or piece[1] <= taken[k][0]:
+            kept.append(piece)
+        elif piece[3] <= taken[k][0]:
+            kept.append((piece[0], piece[3], piece[2], piece[3]))
+    return sorted(kept + taken)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for place, c in enumerate(reversed(digits)):
@@ -99,28 +203,16 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
 class Rewritten:
     """A text with its disguises undone, and the way back to the source's code points."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, found: list[tuple[int, int, str, int]]):
         pieces, self.at, self.source = [], [], []  # per rewritten piece: where it stands, (source start, source end, length)
         done = made = 0
-        for match in DISGUISE.finditer(text):
-            kind, piece = match.lastgroup, match[0]
-            if kind == "strange":
-                new = piece.translate(LOOK_ALIKES)
-            elif kind == "at":
-                new = "@"
-            elif kind == "dot":
-                new = "."
-            elif kind == "plus":
-                new = "+"
-            else:
-                new = DIGIT_WORDS[piece.rstrip(" -").lower()]
-            pieces += [text[done:match.start()], new]
-            made += match.start() - done
+        for start, resume, new, end in found:
+            pieces += [text[done:start], new]
+            made += start - done
             self.at.append(made)
-            end = match.start() + len(piece.rstrip(" -")) if kind == "digit" else match.end()
-            self.source.append((match.start(), end, match.end(), len(new)))
+            self.source.append((start, end, resume, len(new)))
             made += len(new)
-            done = match.end()
+            done = resume
         pieces.append(text[done:])
         self.text = "".join(pieces)
 
@@ -146,9 +238,10 @@ class Rewritten:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(spans of the text as it stands, those and the spans that undoing disguises adds)."""
     base = find_spans(text)
-    if DISGUISE.search(text) is None:
+    found = disguises(text)
+    if not found:
         return base, base
-    rewritten, every = Rewritten(text), set(base)
+    rewritten, every = Rewritten(text, found), set(base)
     for start, kind, end in find_spans(rewritten.text):
         span = rewritten.span(start, end)
         if span and not any(k == kind and a <= span[0] and span[1] <= b for a, k, b in base):

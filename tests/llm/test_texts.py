@@ -82,6 +82,19 @@ def test_disguises(text, found):
     assert set(pii.find_spans(text)) <= set(pii.all_spans(text)[1])
 
 
+@pytest.mark.parametrize("text, found", [
+    ("to anna at firma dot pl.", ["anna at firma dot pl"]), ("anna at mail dot ru, now", ["anna at mail dot ru"]), ("anna [at] firma dot nl", ["anna [at] firma dot nl"]),
+    ("ask anna at b dot co dot jp now", ["anna at b dot co dot jp"]), ("mail john dot smith at example dot com", ["john dot smith at example dot com"]),
+    ("write anna at example.com.", ["anna at example.com"]), ("j dot r [dot] t (at) a.b dot museum", ["j dot r [dot] t (at) a.b dot museum"]), ("anna@firma dot pl", ["anna@firma dot pl"]),
+    ("anna at a dot b dot c dot d dot e dot f dot g dot pl", ["anna at a dot b dot c dot d dot e dot f dot g dot pl"]), ("\u0430nna at f\u0456rma dot pl", ["\u0430nna at f\u0456rma dot pl"]),
+    ("\U0001d423\U0001d428\U0001d421\U0001d427@ex.com!", ["\U0001d423\U0001d428\U0001d421\U0001d427@ex.com"]), ("call +\u096a\u096f \u0969\u0966\u0967 \u0968\u0969\u096a \u096b\u096c\u096d\u096e", ["+\u096a\u096f \u0969\u0966\u0967 \u0968\u0969\u096a \u096b\u096c\u096d\u096e"]),
+    ("host at 10 dot zero dot zero dot one", ["10 dot zero dot zero dot one"]), ("look at the dot in it, at one dot two", []), ("arrive at home. Then go", []),
+])
+def test_whole_addresses_in_words(text, found):
+    assert [text[a:b] for a, _, b in pii.all_spans(text)[1]] == found
+    assert not found or all(f not in pii.mask(text) for f in found)
+
+
 def test_masking(documents):
     out = {r["doc_id"]: r for r in pii.masked(documents([(1, "to a@b.co, 1.2.3.4"), (2, None), (3, "clean"), (None, "a@b.co")], extra=True)).collect()}
     assert out[1]["text"] == "to <EMAIL>, <IP>" and out[1]["n_chars"] == 16 and out[2]["text"] is None and out[3]["text"] == "clean" and out[None]["digest"] == "x"
