@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,11 @@ from analystry.session import scratch_path, spread
 WORDS_PER_SHINGLE = 5
 #: Linked from this many hundredths of Jaccard similarity.
 LEAST_PERCENT = 85
-BANDS, ROWS_PER_BAND = 24, 5
-HASHES = BANDS * ROWS_PER_BAND
+ROWS_PER_BAND = 5
 #: Hashes compared before the posterior is looked at again.
 BATCH = 20
-#: A pair is dropped when the posterior probability of being similar enough is below this.
+#: A pair is dropped when the posterior probability of being similar enough is below this; a pair just similar enough shares no band with
+#: no more than this probability.
 MISS = 1e-6
 #: Partners that the first sweep verifies for each class in each bucket; the second sweep takes all that are needed.
 FIRST_PARTNERS = 2
@@ -47,6 +48,18 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def bands(percent: int) -> int:
+    """The fewest bands of which a pair at `percent` shares none with probability MISS at most."""
+    return ceil(log(MISS) / log1p(-((percent / 100) ** ROWS_PER_BAND)))
+
+
+def hashes(percent: int) -> int:
+    return bands(percent) * ROWS_PER_BAND
+
+
+BANDS, HASHES = bands(LEAST_PERCENT), hashes(LEAST_PERCENT)
+
+
 def shingle_set(text: str | None, width: int = WORDS_PER_SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; A-Z lower-cased, words split at ASCII white space.
 
@@ -65,16 +78,16 @@ def shingle_set(text: str | None, width: int = WORDS_PER_SHINGLE) -> np.ndarray:
     return np.unique(rolled)
 
 
-@lru_cache(maxsize=1)
-def multipliers() -> np.ndarray:
-    return np.random.default_rng(20).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+@lru_cache(maxsize=8)
+def multipliers(count: int) -> np.ndarray:
+    return np.random.default_rng(20).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """HASHES minima over the set, 16 bits of each."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def signature(shingles: np.ndarray, count: int = HASHES) -> np.ndarray:
+    """`count` minima over the set, 16 bits of each."""
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for first in range(0, len(shingles), CHUNK):
-        np.minimum(least, np.multiply.outer(multipliers(), shingles[first:first + CHUNK]).min(axis=1), out=least)
+        np.minimum(least, np.multiply.outer(multipliers(count), shingles[first:first + CHUNK]).min(axis=1), out=least)
     return ((least * _MIX) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -84,7 +97,7 @@ def least_matches(percent: int, miss: float = MISS) -> tuple[int, ...]:
     grid = (np.arange(20000) + 0.5) / 20000
     above = grid >= percent / 100
     kept = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in range(BATCH, hashes(percent) + 1, BATCH):
         for m in range(n + 1):
             log_density = m * np.log(grid) + (n - m) * np.log1p(-grid)
             density = np.exp(log_density - log_density.max())
@@ -94,17 +107,22 @@ def least_matches(percent: int, miss: float = MISS) -> tuple[int, ...]:
     return tuple(kept)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, digests, sketches = [], [], []
-        for text in batch.column(1).to_pylist():
-            shingles = shingle_set(text)
-            sizes.append(len(shingles))
-            digests.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
-            sketches.append(signature(shingles).tobytes() if len(shingles) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
-            ["doc_id", "n_shingles", "digest", "sketch"])
+def _sketch(percent: int):
+    count = hashes(percent)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, sketches = [], [], []
+            for text in batch.column(1).to_pylist():
+                shingles = shingle_set(text)
+                sizes.append(len(shingles))
+                digests.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
+                sketches.append(signature(shingles, count).tobytes() if len(shingles) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "sketch"])
+
+    return sketch
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +156,7 @@ def survivors(bucket: np.ndarray, band: np.ndarray, cross: np.ndarray, side: np.
             alive = equal >= least
             i, equal = i[alive], equal[alive]
         if len(i):
-            whole = (sketch[i] == sketch[i + lag]).reshape(len(i), BANDS, ROWS_PER_BAND).all(axis=2)
+            whole = (sketch[i] == sketch[i + lag]).reshape(len(i), bands(percent), ROWS_PER_BAND).all(axis=2)
             first = whole.argmax(axis=1) == band[i]
             found.append((i[first], i[first] + lag, equal[first]))
     if not found:
@@ -179,7 +197,7 @@ def _by_bucket(work):
 def _surviving(rows: pa.Table, percent: int, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     band, key, low, high, side, component = (rows.column(c).to_numpy() for c in (*BUCKET, "side", "component"))
     new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
-    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(rows.num_rows, HASHES)
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(rows.num_rows, hashes(percent))
     return survivors(np.cumsum(new), band, low != high, side, component, sketch, percent, across)
 
 
@@ -265,9 +283,9 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _bucket_rows(classes: DataFrame) -> DataFrame:
+def _bucket_rows(classes: DataFrame, percent: int) -> DataFrame:
     """(band, key, digest, n) of classes whose band key another class has too."""
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
+    band = F.explode(F.sequence(F.lit(0), F.lit(bands(percent) - 1))).alias("band")
     keys = classes.select("digest", "sketch", band).select(
         "digest", "band", F.xxhash64("band", F.substring("sketch", F.col("band") * (2 * ROWS_PER_BAND) + 1, F.lit(2 * ROWS_PER_BAND))).alias("key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -330,10 +348,10 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     (null) and are not kept. Texts of any length are read whole; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = _written(spread(rows).mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
+    sketched = _written(spread(rows).mapInArrow(_sketch(percent), "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
     classes = _written(sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
-    members = _written(_bucket_rows(classes), "buckets")
+    members = _written(_bucket_rows(classes, percent), "buckets")
     pairs = _placed(members, classes, None).mapInArrow(_by_bucket(_partners(percent)), "a long, b long").distinct()
     first = _written(_verified(_written(pairs, "pairs"), rows, percent), "links")
     components = _written(connected_components(first), "components")

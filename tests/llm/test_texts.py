@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -190,3 +191,19 @@ def test_every_repeated_chunk_stays_in_its_first_document(documents, prose):
     assert all(chunk in left[doc_id] for chunk, doc_id in first.items())
     marks = {(r["doc_id"], r["kept"]) for r in passages.repeated_passages(documents(rows)).collect()}
     assert {(5, False), (5, True), (22, False), (22, True), (9, False), (24, False)} <= marks and (9, True) not in marks
+
+
+def test_pipeline_links_from_eighty_hundredths(spark, documents, prose):
+    words = prose(400, 204).split()
+    changed = [w if k not in (40, 100, 120, 160) else f"new{k}" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, prose(401, 100))]
+    shared = len(brute.shingles(rows[0][1]) & brute.shingles(rows[1][1]))
+    assert 0.80 <= shared / (400 - shared) < 0.85
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3]
+
+
+def test_bands_keep_the_miss_probability():
+    assert (minhash.bands(85), minhash.BANDS, minhash.bands(80)) == (24, 24, 35)
+    assert all((1 - (p / 100) ** minhash.ROWS_PER_BAND) ** minhash.bands(p) <= minhash.MISS for p in (75, 80, 85, 90))
+    assert minhash.signature(np.arange(9, dtype=np.uint64), 175)[:120].tolist() == minhash.signature(np.arange(9, dtype=np.uint64)).tolist()
