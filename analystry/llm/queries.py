@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from analystry.llm import bpe, minhash, mixing, passages, pii, quality, topk, toxicity, urls, vectors
+from analystry.llm import bpe, minhash, mixing, passages, pii, quality, runs, secrets, topk, toxicity, urls, vectors, whitening
 from analystry.session import table
 
 QUERIES = {}
@@ -156,3 +156,70 @@ FROM rows JOIN least ON node = vec_id LEFT JOIN counted ON a = vec_id"""
 @query("op10_near_vectors", LINKS_SQL)
 def op10(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def _secrets_sql() -> str:
+    hits = " UNION ALL ".join(
+        f"""SELECT row, doc_id, {place} AS place, unnest(range(len(hits))) AS k, unnest(list_slice(gaps, 1, len(hits))) AS gap, unnest(hits) AS hit, unnest(vals) AS val FROM (
+  SELECT row, doc_id, regexp_split_to_array(text, $p${pattern}$p$) AS gaps, regexp_extract_all(text, $p${pattern}$p$) AS hits, regexp_extract_all(text, $p${pattern}$p$, {group}) AS vals
+  FROM texts WHERE regexp_matches(text, $p${pattern}$p$))""" for place, (_, pattern, group) in enumerate(secrets.KINDS))
+    fits = " OR ".join(f"(w.role = '{r}' AND o.role IN ({', '.join(repr(x) for x in others)}))" for r, others in secrets.COMPLEMENTS.items())
+    near = " OR ".join(f"abs(w.{a} - o.{b}) <= {secrets.REACH}" for a in ("first", "last") for b in ("first", "last"))
+    names = ", ".join(repr(k) for k, _, _ in secrets.KINDS)
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+hits AS ({hits}),
+placed AS (
+  SELECT row, doc_id, place, length(val) AS size, regexp_matches(val, '[A-Za-z]') AND regexp_matches(val, '[0-9]') AS mixed,
+         sum(length(gap) + length(hit)) OVER w AS stop, sum(length(gap) + length(hit)) OVER w - length(hit) AS first, sum(len(regexp_extract_all(gap, '{secrets.BLANK_LINE}'))) OVER w AS scope
+  FROM hits WINDOW w AS (PARTITION BY row, place ORDER BY k)),
+parts AS (
+  SELECT row, doc_id, CASE WHEN place = 0 AND size < {secrets.LEAST_ASSIGNED} THEN 4 ELSE place END AS place, first, stop, stop - 1 AS last, scope,
+         CASE WHEN place IN (0, 4) OR place = 2 AND mixed THEN 'secret' WHEN place IN (1, 3) THEN 'identifier' WHEN place = 5 THEN 'endpoint' END AS role
+  FROM placed WHERE NOT (place = 4 OR place = 0 AND size < {secrets.LEAST_ASSIGNED}) OR mixed AND size >= {secrets.LEAST_WEAK}),
+beside AS (SELECT * FROM parts w WHERE place < {secrets.BASE} OR NOT EXISTS (SELECT 1 FROM parts b WHERE b.row = w.row AND b.place < {secrets.BASE} AND b.first < w.stop AND w.first < b.stop)),
+kept AS (SELECT * FROM beside w WHERE place < {secrets.BASE} OR EXISTS (SELECT 1 FROM beside o WHERE o.row = w.row AND o.scope = w.scope AND ({fits}) AND ({near}))),
+told AS (
+  SELECT row, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex, count(*) FILTER (place >= {secrets.BASE}) AS n_added,
+         string_agg(name || ':' || CAST(first AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY first, place, stop) FILTER (place < {secrets.BASE}) AS base,
+         string_agg(name || ':' || CAST(first AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY first, place, stop) AS spans
+  FROM (SELECT *, list_extract([{names}], place + 1) AS name FROM kept) GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0)::BIGINT AS n_added
+FROM texts LEFT JOIN told USING (row)"""
+
+
+@query("op12_secrets", _secrets_sql())
+def op12(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs):
+    """doc_id and text; in a tenth of the documents, by a hash of the id, the words from some place on repeat a stretch of the text."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).withColumn("g", F.floor(F.col("h") / 10))
+    split = chosen.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+    n, g = F.col("n"), F.col("g")
+    split = split.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    places = F.sequence(F.lit(0), n - F.col("a") - 1)
+    tail = F.transform(places, lambda i: F.get(F.col("words"), F.col("a") + i % F.col("p")))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return split.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    found = runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # runs come by start and period, so the first of the greatest exponent wins; exponents are compared as fractions
+    greater = lambda a, b: F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), greater)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), "collapsed_sha256")
