@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from analystry.llm.chunking import chunk_bounds
+from analystry.llm.memory import frugal
 from analystry.session import spread
 
 #: Least, usual (as a power of two) and greatest bytes of a chunk.
 CHUNK_LEAST, CHUNK_BITS, CHUNK_MOST = 512, 10, 8192
-#: Chunks that are encoded once for all tasks; at 2 bytes a token and CHUNK_MOST bytes a chunk, the broadcast stays below 64 MB.
+#: Chunks that are encoded once for all tasks; with 16-bit ids and CHUNK_MOST bytes a chunk, the broadcast stays below 64 MB.
 SHARED_CHUNKS = 4096
 #: Bytes of texts whose chunk encodings a task keeps, by least recent use.
-KEPT_BYTES = 1 << 26
+KEPT_BYTES = 1 << 24
 #: Texts of fewer bytes are encoded whole.
 WHOLE_BELOW = 2 * CHUNK_LEAST
 
@@ -44,9 +45,10 @@ PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f]*")
 
 @lru_cache(maxsize=2)
 def tools(path: str):
-    """(tokenizer, faster encoder or None, bytes of every id, special strings) of a byte-level BPE file, once a process.
+    """(tokenizer, faster encoder or None, bytes of every id, special strings) of a BPE file, once a process.
 
-    The faster encoder merges by id; it is used where the file's merges are in the order of the ids they make.
+    The faster encoder merges by id; it is used where the file's merges are in the order of the ids they make. The bytes are None for
+    files whose normaliser, pre-tokeniser or decoder are not the plain byte-level ones: their texts are encoded and decoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tiktoken
@@ -57,6 +59,10 @@ def tools(path: str):
     tokenizer.no_padding()
     with open(path, encoding="utf-8") as file:
         described = json.load(file)
+    cut = described.get("pre_tokenizer") or {}
+    if (described.get("normalizer") is not None or (described.get("decoder") or {}).get("type") != "ByteLevel" or cut.get("type") != "ByteLevel"
+            or cut.get("add_prefix_space", True) or not cut.get("use_regex", True)):
+        return tokenizer, None, None, []
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     letters = {chr(b): b for b in shown}
     letters |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
@@ -76,7 +82,9 @@ class ChunkEncoder:
 
     def __init__(self, path: str, shared: dict[bytes, bytes] | None = None):
         self.tokenizer, self.fast, self.pieces, self.special = tools(path)
-        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        self.lengths = None if self.pieces is None else np.array([len(p) for p in self.pieces], np.int64)
+        #: Shared ids are stored as these.
+        self.narrow = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.shared = shared or {}
         self.kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.room = KEPT_BYTES
@@ -90,7 +98,7 @@ class ChunkEncoder:
     def chunk(self, data: bytes) -> np.ndarray:
         digest = xxhash.xxh3_128_digest(data)
         if digest in self.shared:
-            return np.frombuffer(self.shared[digest], np.uint16).astype(np.uint32)
+            return np.frombuffer(self.shared[digest], self.narrow).astype(np.uint32)
         ids = self.kept.get(digest)
         if ids is not None:
             self.kept.move_to_end(digest)
@@ -104,7 +112,7 @@ class ChunkEncoder:
 
     def encode(self, data: bytes) -> np.ndarray:
         """Ids of a whole text in UTF-8."""
-        if len(data) < WHOLE_BELOW:
+        if len(data) < WHOLE_BELOW or self.pieces is None:
             return self.whole(data)
         ends = utf8_chunks(data)
         if len(ends) == 1:
@@ -140,6 +148,8 @@ class ChunkEncoder:
         return len(data), len(ends) - 1
 
     def decode(self, ids: np.ndarray) -> str:
+        if self.pieces is None:
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
@@ -199,12 +209,14 @@ def repeated_chunks(docs: DataFrame, most: int = SHARED_CHUNKS) -> DataFrame:
                 pa.array(list(seen), pa.binary()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())],
                 ["digest", "bytes", "times"])
 
-    counted = _texts(docs).mapInArrow(count, "digest binary, bytes long, times long").groupBy("digest").agg(F.max("bytes").alias("bytes"), F.sum("times").alias("times"))
-    return counted.where("times > 2").orderBy(F.desc(F.col("bytes") * (F.col("times") - 1)), "digest").limit(most)
+    counted = _texts(docs).mapInArrow(frugal(count), "digest binary, bytes long, times long").groupBy("digest").agg(F.max("bytes").alias("bytes"), F.sum("times").alias("times"))
+    return counted.where("times > 1").orderBy(F.desc(F.col("bytes") * (F.col("times") - 1)), "digest").limit(most)
 
 
 def shared_encodings(docs: DataFrame, path: str, most: int = SHARED_CHUNKS) -> dict[bytes, bytes]:
-    """Digest to 16-bit ids of the most repeated chunks, each encoded once. Bounded by `most` chunks of CHUNK_MOST bytes."""
+    """Digest to packed ids of the most repeated chunks, each encoded once. Bounded by `most` chunks of CHUNK_MOST bytes."""
+    if tools(path)[2] is None:
+        return {}
     wanted = {bytes(r["digest"]) for r in repeated_chunks(docs, most).select("digest").toLocalIterator()}
     if not wanted:
         return {}
@@ -225,11 +237,11 @@ def shared_encodings(docs: DataFrame, path: str, most: int = SHARED_CHUNKS) -> d
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)
         for batch in batches:
-            ids = [encoder.whole(chunk).astype(np.uint16).tobytes() for chunk in batch.column(1).to_pylist()]
+            ids = [encoder.whole(chunk).astype(encoder.narrow).tobytes() for chunk in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["digest", "ids"])
 
-    picked = _texts(docs).mapInArrow(pick, "digest binary, chunk binary").groupBy("digest").agg(F.first("chunk").alias("chunk"))
-    return {bytes(r["digest"]): bytes(r["ids"]) for r in picked.mapInArrow(encode, "digest binary, ids binary").toLocalIterator()}
+    picked = _texts(docs).mapInArrow(frugal(pick), "digest binary, chunk binary").groupBy("digest").agg(F.first("chunk").alias("chunk"))
+    return {bytes(r["digest"]): bytes(r["ids"]) for r in picked.mapInArrow(frugal(encode), "digest binary, ids binary").toLocalIterator()}
 
 
 def encode_documents(docs: DataFrame, path: str, digests_only: bool = True) -> DataFrame:
@@ -245,14 +257,17 @@ def encode_documents(docs: DataFrame, path: str, digests_only: bool = True) -> D
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids array<int>")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, shared.value)
+        encoder, last = ChunkEncoder(path, shared.value), None
         for batch in batches:
             counts, ids_hash, text_hash, every = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = encoder.encode(text.encode())
+            for text in batch.column(1):
+                text = text.as_py()
+                if text != last:  # a mix holds copies of a text next to each other
+                    last, ids = text, encoder.encode(text.encode())
+                    digests = hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()
                 counts.append(len(ids))
-                ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                text_hash.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+                ids_hash.append(digests[0])
+                text_hash.append(digests[1])
                 if not digests_only:
                     every.append(ids.astype(np.int32))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
@@ -262,4 +277,4 @@ def encode_documents(docs: DataFrame, path: str, digests_only: bool = True) -> D
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _texts(docs).mapInArrow(encode, schema)
+    return _texts(docs).mapInArrow(frugal(encode), schema)

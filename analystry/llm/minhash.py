@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from analystry.llm.components import connected_components, local_components
 from analystry.llm.lookups import small_side
+from analystry.llm.memory import frugal
 from analystry.session import scratch_path, spread
 
 WORDS_PER_SHINGLE = 5
@@ -314,7 +315,7 @@ def _in_buckets(rows: DataFrame) -> DataFrame:
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, shingles) of the wanted ids."""
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(small_side(wanted), "id")
-    return texts.dropDuplicates(["id", "text"]).mapInArrow(_sets, "id long, shingles binary")
+    return texts.dropDuplicates(["id", "text"]).mapInArrow(frugal(_sets), "id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -348,19 +349,19 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     (null) and are not kept. Texts of any length are read whole; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = _written(spread(rows).mapInArrow(_sketch(percent), "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
+    sketched = _written(spread(rows).mapInArrow(frugal(_sketch(percent)), "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
     classes = _written(sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     members = _written(_bucket_rows(classes, percent), "buckets")
-    pairs = _placed(members, classes, None).mapInArrow(_by_bucket(_partners(percent)), "a long, b long").distinct()
+    pairs = _placed(members, classes, None).mapInArrow(frugal(_by_bucket(_partners(percent))), "a long, b long").distinct()
     first = _written(_verified(_written(pairs, "pairs"), rows, percent), "links")
     components = _written(connected_components(first), "components")
     marks = "band int, key long, low int, high int, side int, id long, component long"
-    marked = _written(_placed(members, classes, components).mapInArrow(_by_bucket(_marks(percent)), marks), "marked")
+    marked = _written(_placed(members, classes, components).mapInArrow(frugal(_by_bucket(_marks(percent))), marks), "marked")
     sets = _shingles_of(rows, marked.select("id").distinct())
     exact = _in_buckets(marked.join(classes.select("id", "sketch"), "id").join(sets, "id").select(
         *BUCKET, "side", "id", "component", "sketch", "shingles"))
-    later = exact.mapInArrow(_by_bucket(_exact_links(percent)), "a long, b long")
+    later = exact.mapInArrow(frugal(_by_bucket(_exact_links(percent))), "a long, b long")
     links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later)
     final = _written(connected_components(_written(links, "links")), "components")
     named = classes.select("digest", "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select(
@@ -377,9 +378,10 @@ def one_of_each(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """
     judged = _written(near_duplicates(docs, percent).select("doc_id", "kept"), "kept")
     dropped = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    out = docs.join(small_side(dropped.where("NOT kept").select(F.col("doc_id").cast("long").alias("gone"))), F.col("doc_id") == F.col("gone"), "left_anti")
-    repeated = dropped.where("kept AND n > 1").select(F.col("doc_id").alias("again"))
-    if repeated.isEmpty():
-        return out
-    again = F.col("doc_id") == F.col("again")
-    return out.join(small_side(repeated), again, "left_anti").unionByName(out.join(small_side(repeated), again, "left_semi").dropDuplicates(["doc_id"]))
+    # the columns travel as one, so that no name can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = rows.join(small_side(dropped.where("NOT kept").select(F.col("doc_id").alias("id"))), "id", "left_anti")
+    repeated = dropped.where("kept AND n > 1").select(F.col("doc_id").alias("id"))
+    if not repeated.isEmpty():
+        out = out.join(small_side(repeated), "id", "left_anti").unionByName(out.join(small_side(repeated), "id", "left_semi").dropDuplicates(["id"]))
+    return out.select("row.*")

@@ -153,6 +153,8 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES) -> Dat
     """
     taken = mix_documents(docs, weights, most).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    often = taken.where("size > 0").select(F.col("doc_id").alias("mixed_id"), times.alias("times")).where("times > 0")
-    joined = docs.join(small_side(often), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+    often = taken.where("size > 0").select("doc_id", times.alias("times")).where("times > 0")
+    # the columns travel as one, so that no name can clash
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = rows.join(small_side(often), F.col("id").eqNullSafe(F.col("doc_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

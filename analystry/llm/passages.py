@@ -121,18 +121,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with all its columns and every passage that is not kept cut out of `text`."""
     cuts = repeated_passages(docs).where("NOT kept").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    joined = docs.join(cuts.withColumnRenamed("doc_id", "cut_id"), F.col("doc_id") == F.col("cut_id"), "left").drop("cut_id")
-    names = docs.columns
+    # the columns travel as one, so that no name can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = rows.join(cuts.withColumnRenamed("doc_id", "id"), "id", "left").select("row", "cuts")
+    names, place = docs.columns, docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            texts = []
-            for text, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            columns, texts = batch.column(0).flatten(), []
+            for text, spans in zip(columns[place].to_pylist(), batch.column(1).to_pylist()):
                 for span in reversed(spans or []):
                     text = text[:span["start"]] + text[span["end"]:]
                 texts.append(text)
-            columns = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(len(names))]
+            columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(cut, docs.schema)

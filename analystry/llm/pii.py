@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from analystry.llm.memory import frugal
 from analystry.session import spread
 
 KINDS = ("email", "ip", "card", "phone")
@@ -298,7 +299,7 @@ def masked(docs: DataFrame) -> DataFrame:
             texts = pa.array([None if t is None else mask(t) for t in batch.column(place).to_pylist()], pa.string())
             yield batch.set_column(place, batch.schema.field(place).with_type(pa.string()), texts)
 
-    out = docs.mapInArrow(rewrite, docs.schema)
+    out = docs.mapInArrow(frugal(rewrite), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out

@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from analystry.session import spread
+from analystry.llm.memory import frugal
+from analystry.session import scratch_path, spread
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -123,18 +124,18 @@ class ToxicityModel:
         a, b, c = self.curve
         return 1 / (1 + np.exp(-np.clip(a + b * terms[:, 0] + c * terms[:, 1], -30, 30)))
 
-    def fit_curve(self, found: list[tuple[int, list[float], int]]) -> None:
-        """(label, segment sums, words) of fresh labelled texts: the law of clean texts by moments, then the curve by Newton steps."""
-        best = np.array([max(s, default=0.0) for _, s, _ in found])
-        length, label = np.array([n for _, _, n in found], float), np.array([y for y, _, _ in found], float)
+    def fit_law(self, label: np.ndarray, best: np.ndarray, length: np.ndarray) -> None:
+        """The law of clean texts by moments, from the best segment's sum and the number of words of fresh labelled texts."""
         clean = label == 0
         if clean.sum() > 1:
             for _ in range(20):
                 rest = best[clean] - np.log(length[clean] + 1) / self.scale
                 self.scale = float(np.clip(np.pi / np.sqrt(6) / max(rest.std(), 1e-6), 0.2, 5.0))
             self.offset = float(self.scale * rest.mean() - np.euler_gamma)
-        rows = np.array([self.terms([(0, 0, x) for x in s], n) for _, s, n in found]).reshape(len(found), 2)
-        design = np.column_stack([np.ones(len(rows)), rows])
+
+    def fit_curve(self, label: np.ndarray, terms: np.ndarray) -> None:
+        """The curve by Newton steps, from both terms of fresh labelled texts."""
+        design = np.column_stack([np.ones(len(terms)), terms])
         weight = np.array([np.log(self.base / (1 - self.base)), 0.0, 0.0])
         if 0 < label.sum() < len(label):
             for _ in range(50):
@@ -177,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = known.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(TRAIN_ROWS))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("labelled_id"))
-    words = spread(rows.where(fold(F.col("doc_id")) != 4).select("toxic", "text")).mapInArrow(_counted, "slot long, toxic long, clean long")
+    words = spread(rows.where(fold(F.col("doc_id")) != 4).select("toxic", "text")).mapInArrow(frugal(_counted), "slot long, toxic long, clean long")
     counts = np.zeros((2, SLOTS + 1), np.int64)
     summed = words.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     for row in summed.mapInArrow(_packed, "rows binary").toLocalIterator():
@@ -193,9 +194,21 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
                 batch.column("toxic"), pa.array([[s for _, _, s in segments] for segments, _ in found], pa.list_(pa.float64())),
                 pa.array([n for _, n in found], pa.int64())], ["toxic", "sums", "words"])
 
-    seen = spread(rows.where(fold(F.col("doc_id")) == 4).select("toxic", "text")).mapInArrow(fresh, "toxic int, sums array<double>, words long")
-    strongest = seen.select("toxic", F.slice(F.sort_array("sums", asc=False), 1, 64).alias("sums"), "words").orderBy("words", "toxic", F.col("sums").cast("string"))
-    model.fit_curve([(r["toxic"], list(r["sums"]), r["words"]) for r in strongest.collect()])
+    seen = spread(rows.where(fold(F.col("doc_id")) == 4).select("toxic", "text")).mapInArrow(frugal(fresh), "toxic int, sums array<double>, words long")
+    path = scratch_path(docs.sparkSession, "segments")
+    seen.write.parquet(path)
+    sent.destroy()
+    seen = docs.sparkSession.read.parquet(path).withColumn("best", F.coalesce(F.array_max("sums"), F.lit(0.0)))
+    law = np.array(sorted(map(tuple, seen.select("toxic", "best", "words").collect())), float).reshape(-1, 3)  # TRAIN_ROWS rows at most, as below
+    model.fit_law(*law.T)
+
+    def excess(score: Column) -> Column:
+        return F.lit(model.scale) * score - F.log(F.col("words") + 1.0) - F.lit(model.offset)
+
+    every = F.aggregate("sums", F.lit(0.0), lambda total, s: total + F.greatest(excess(s), F.lit(0.0)))
+    rest = F.log1p(F.greatest(every - F.greatest(excess(F.col("best")), F.lit(0.0)), F.lit(0.0)))
+    fitted = np.array(sorted(map(tuple, seen.select("toxic", excess(F.col("best")), rest).collect())), float).reshape(-1, 3)
+    model.fit_curve(fitted[:, 0], fitted[:, 1:])
     return model
 
 
@@ -224,12 +237,18 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return spread(rows).mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int, segment_score double, segment_start int, segment_end int")
+    return spread(rows).mapInArrow(frugal(score), f"doc_id {kind}, held_out boolean, score double, predicted int, segment_score double, segment_start int, segment_end int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` with all its columns, without the documents that are predicted to be toxic. Texts are read in place, not joined."""
-    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    """`docs` with all its columns, without the documents that are predicted to be toxic. Texts are read in place, not joined.
+
+    Without labels of both kinds nothing tells toxic texts apart, and all documents stay.
+    """
+    learnt = learn(docs, labels)
+    if not all(learnt.documents):
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(learnt)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,4 +257,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = model.probability(np.array(terms).reshape(len(terms), 2)) < 0.5
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(frugal(clean), docs.schema)

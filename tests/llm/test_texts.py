@@ -1,12 +1,14 @@
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from analystry.llm import bpe, minhash, passages, pii
+from analystry.llm import bpe, minhash, mixing, passages, pii, toxicity
 from analystry.llm.chunking import chunk_bounds
 from analystry.llm.queries import tokenizer_file
 
@@ -62,6 +64,72 @@ def test_encoded_documents(documents, encoder, prose):
     assert bpe.encode_documents(documents([]), tokenizer_file()).count() == 0
 
 
+def test_another_kind_of_vocabulary(documents, prose):
+    path = tokenizer_file("word_bpe_49k.json")
+    library = bpe.ChunkEncoder(path).tokenizer
+    rows = STRANGE + [(k, prose(k, 400) + "  It's HERE,\n\n42 " + prose(1, 900)) for k in range(10, 16)]
+    got = {str(r["doc_id"]): r for r in bpe.encode_documents(documents(rows), path, digests_only=False).collect()}
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[str(i)]["ids"] == ids
+        assert got[str(i)]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_chunks_of_two_holders_are_shared(documents, prose):
+    shared = prose(1, 3000)
+    found = bpe.repeated_chunks(documents([(k, prose(k, 200) + " " + shared) for k in (10, 11)]))
+    assert found.count() > 5 and {r["times"] for r in found.collect()} == {2}
+
+
+def test_clashing_names_stay(documents, spark):
+    clash = {c: F.lit(7).alias(c) for c in ("mixed_id", "times", "gone", "again", "cut_id", "id", "row", "copy", "cuts", "kept")}
+    docs = documents([(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, "x y z u v w"), (4, "x y z u v w")]).select("*", *clash.values())
+    for out in (mixing.mixed_rows(docs), minhash.one_of_each(docs), passages.without_repeats(docs)):
+        assert out.columns == docs.columns and {r["copy"] for r in out.collect()} == {7}
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(docs).collect()) == [1, 3, 4]
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    draw, given = random.Random(5), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs, seen = given, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/out-{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/out-{name}")
+        seen.append((name, {r["doc_id"]: r for r in before.collect()}, docs.collect()))
+    stages = {name: (before, after) for name, before, after in seen}
+    before, after = stages["toxicity"]
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(given, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert sorted(r["doc_id"] for r in after) == sorted(i for i in before if not scored[i]) and 0 < len(after) < len(before)
+    before, after = stages["near_duplicates"]
+    want = brute.near_duplicates([(i, r["text"]) for i, r in before.items()], corpus_pipeline.NEAR_PERCENT)
+    assert sorted(r["doc_id"] for r in after) == sorted(i for i, w in want.items() if w[2])
+    before, after = stages["personal_data"]
+    assert {r["doc_id"]: r["text"] for r in after} == {i: r["text"] if r["text"] is None else pii.mask(r["text"]) for i, r in before.items()}
+    before, after = stages["source_mix"]
+    assert all(tuple(r) == tuple(before[r["doc_id"]]) for r in after) and max(Counter(r["doc_id"] for r in after).values()) <= 3
+    words = lambda rows: Counter({s: sum(len((r["text"] or "").encode().split()) for r in rows if r["source"] == s) for s in {r["source"] for r in rows}})
+    sizes = words(before.values())
+    goals = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    got = words(after)
+    longest = max(len((r["text"] or "").split()) for r in before.values())
+    assert all(abs(got[s] - goals[s]) <= 3 * longest + 0.1 * goals[s] for s in goals)
+    before, after = stages["bpe_tokens"]
+    library = bpe.ChunkEncoder(tokenizer_file()).tokenizer
+    for r in draw.sample(after, 40):
+        ids = library.encode(before[r["doc_id"]]["text"] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, after))
+
+
+def test_no_labels_keep_the_corpus(spark, documents):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.without_toxic(documents([(1, "a"), (2, None)]), none).count() == 2
+
+
 def test_personal_data_agrees_with_plain_patterns(documents):
     draw = random.Random(2)
     bits = ["a@b.co", "x.y@z", "@", ".", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (980) 555-6268", "+", "12", " ", "-", "(", "é", "7", "\n", "001.02.3.255.6"]
