@@ -6,6 +6,8 @@ weights, so that documents of heavy sources come up to three times and some of l
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from analystry.llm import bpe, minhash, mixing, pii, toxicity
@@ -17,6 +19,20 @@ from analystry.session import scratch_path, table
 NEAR_PERCENT = 80
 
 
+#: Bytes of a batch that Spark hands to a Python worker: the workers of all stages stay small. Spark's own setting is for one stage alone.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
@@ -38,11 +54,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("personal_data", mask_personal_data),
-    ("source_mix", mix_sources),
-    ("bpe_tokens", encode),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("near_duplicates", in_small_batches(drop_near_duplicates)),
+    ("personal_data", in_small_batches(mask_personal_data)),
+    ("source_mix", in_small_batches(mix_sources)),
+    ("bpe_tokens", in_small_batches(encode)),
 ]
 
 #: Signatures, toxicity curves and tokens are beyond SQL; tests compare the stages with brute force.
