@@ -12,6 +12,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from analystry.operators.boosting import ada_boost  # noqa: F401
+from analystry.operators.sparse_linear import entries, l1_then_svm, online_linear, ridge_classifier, sgd_linear, svm_classifier  # noqa: F401
+
 
 def centred_pca(df: DataFrame, features: str, output: str, variance: float | None = None,
                 components: int | None = None) -> tuple:
@@ -41,13 +44,6 @@ def apply_pca(models: tuple, df: DataFrame) -> DataFrame:
 PCA_BLOCK = 2048
 
 
-def _entries(features: str) -> Column:
-    """A vector as (indices, values); dense vectors name all their places."""
-    parts = F.unwrap_udt(features)
-    dense = F.sequence(F.lit(0), F.size(parts["values"]) - 1)
-    return F.struct(F.coalesce(parts["indices"], dense).alias("i"), parts["values"].alias("v"))
-
-
 def _covariance_times(rows: DataFrame, mean: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
     """Covariance times basis without the covariance: each task adds up its rows' share, blocks of features are summed apart."""
     context = rows.sparkSession.sparkContext
@@ -86,7 +82,7 @@ def truncated_pca(df: DataFrame, features: str, variance: float, rounds: int = 8
 
     seen = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(features)).alias("s")).select("s.*").first()
     mean, n, total = seen["mean"].toArray(), seen["count"], float(seen["variance"].toArray().sum())
-    rows = df.select(_entries(features).alias("e")).select("e.i", "e.v")
+    rows = df.select(entries(features).alias("e")).select("e.i", "e.v")
     rank = max(1, min(n - 1, len(mean)))
     if total <= 0:
         return mean, np.zeros((len(mean), 1)), np.zeros(1)
@@ -115,8 +111,8 @@ def project(df: DataFrame, features: str, output: str, mean: np.ndarray, compone
         middle, c = sent.value
         return pd.Series([v @ c[i] - middle for i, v in zip(indices, values)])
 
-    entries = _entries(features)
-    turned = F.pandas_udf(turn, "array<double>")(entries["i"], entries["v"])
+    places = entries(features)
+    turned = F.pandas_udf(turn, "array<double>")(places["i"], places["v"])
     return df.withColumn(output, array_to_vector(turned))
 
 
@@ -126,138 +122,22 @@ def logistic(n: int, c: float = 1.0, **options) -> C.LogisticRegression:
     return C.LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, **settings)
 
 
-def logistic_cv(n: int, folds: int = 3, exponents: Sequence[int] = range(-4, 5), **options):
-    """Choose C from 10^exponents by cross-validation."""
+#: Strengths that cross-validation tries: ten, evenly spaced in the exponent from -4 to 4.
+EXPONENTS = tuple(-4 + 8 * k / 9 for k in range(10))
+
+
+def logistic_cv(n: int, folds: int = 3, exponents: Sequence[float] = EXPONENTS, **options):
+    """Choose C from 10^exponents by cross-validation on n rows; a fold is fitted on (folds - 1) / folds of them, and so is the penalty."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     base = logistic(n, **options)
-    grid = ParamGridBuilder().addGrid(base.regParam, [1.0 / (10.0 ** e * n) for e in exponents]).build()
+    grid = ParamGridBuilder().addGrid(base.regParam, [1.0 / (10.0 ** e * n * (folds - 1) / folds) for e in exponents]).build()
     judge = MulticlassClassificationEvaluator(
         metricName="accuracy", labelCol=base.getLabelCol(), predictionCol=base.getPredictionCol())
     return CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=0, parallelism=2)
 
 
-class RidgeClassifierModel:
-    """One linear score per class; the largest wins."""
-
-    def __init__(self, weights: np.ndarray, intercepts: np.ndarray, features: str, prediction: str):
-        self.weights, self.intercepts, self.features, self.prediction = weights, intercepts, features, prediction
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return linear_argmax(df, self.weights, self.intercepts, self.features, self.prediction)
-
-
-def linear_argmax(df: DataFrame, weights: np.ndarray, intercepts: np.ndarray, features: str, prediction: str) -> DataFrame:
-    """Class index with the largest linear score, from one Arrow-batched function."""
-    @F.pandas_udf("double")
-    def winner(vectors: pd.Series) -> pd.Series:
-        x = np.stack(vectors.to_numpy())
-        return pd.Series((x @ weights.T + intercepts).argmax(axis=1).astype("float64"))
-
-    return df.withColumn(prediction, winner(vector_to_array(features)))
-
-
-def ridge_classifier(df: DataFrame, classes: int, alpha: float = 1.0, features: str = "features", label: str = "label",
-                     prediction: str = "prediction") -> RidgeClassifierModel:
-    """Ridge regression on targets of +1 / -1, one class against the rest."""
-    from pyspark.ml.regression import LinearRegression
-
-    n = df.count()
-    weights, intercepts = [], []
-    for k in range(classes):
-        target = df.withColumn("_t", F.when(F.col(label) == k, 1.0).otherwise(-1.0))
-        deviation = target.agg(F.stddev_pop("_t")).first()[0] or 1.0
-        fit = LinearRegression(featuresCol=features, labelCol="_t", solver="normal", standardization=False,
-                               regParam=alpha / n * deviation, elasticNetParam=0.0).fit(target)
-        weights.append(fit.coefficients.toArray())
-        intercepts.append(fit.intercept)
-    return RidgeClassifierModel(np.array(weights), np.array(intercepts), features, prediction)
-
-
-def online_linear(df: DataFrame, classes: int, rule: str = "perceptron", passes: int = 50, c: float = 1.0,
-                  features: str = "features", label: str = "label", prediction: str = "prediction") -> RidgeClassifierModel:
-    """Perceptron or passive-aggressive by iterative parameter mixing.
-
-    Every pass runs each partition from the common weights and averages what comes back
-    (McDonald, Hall, Mann: Distributed training strategies for the structured perceptron, 2010).
-    Stops when a pass makes no mistake.
-    """
-    rows = df.select(vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y")).persist()
-    width = len(rows.first()["x"])
-    w = np.zeros((classes, width + 1))
-    for _ in range(passes):
-        start = w
-
-        def one_pass(batches):
-            mine, seen, wrong = start.copy(), 0, 0
-            for batch in batches:
-                for x, y in zip(batch["x"], batch["y"]):
-                    z = np.append(x, 1.0)
-                    target = np.full(classes, -1.0)
-                    target[y] = 1.0
-                    margin = target * (mine @ z)
-                    if rule == "perceptron":
-                        step = np.where(margin <= 0, 1.0, 0.0)
-                    else:
-                        step = np.minimum(c, np.maximum(0.0, 1.0 - margin) / (z @ z))
-                    mine += (step * target)[:, None] * z
-                    wrong += int((step > 0).any())
-                    seen += 1
-            if seen:
-                yield pd.DataFrame({"w": [mine.ravel().tolist()], "seen": [seen], "wrong": [wrong]})
-
-        mixed = rows.mapInPandas(one_pass, "w array<double>, seen long, wrong long")
-        cells = mixed.select("seen", "wrong", F.posexplode("w").alias("i", "v"))
-        # weighted mean of the partitions, formed by Spark; classes x features numbers come back
-        found = cells.groupBy("i").agg((F.sum(F.col("v") * F.col("seen")) / F.sum("seen")).alias("v"), F.sum("wrong").alias("wrong")).collect()
-        w = np.zeros(classes * (width + 1))
-        for r in found:
-            w[r["i"]] = r["v"]
-        w = w.reshape(classes, width + 1)
-        if found[0]["wrong"] == 0:
-            break
-    rows.unpersist()
-    return RidgeClassifierModel(w[:, :-1], w[:, -1], features, prediction)
-
-
-def linear_svm(n: int, c: float = 1.0, **options):
-    """One-vs-rest L2 support vector machine with penalty 1 / (C n)."""
-    options = {"maxIter": 100, "standardization": False, **options}
-    inner = C.LinearSVC(regParam=1.0 / (c * n), **options)
-    return C.OneVsRest(classifier=inner, featuresCol=inner.getFeaturesCol(), labelCol=inner.getLabelCol(),
-                       predictionCol=inner.getPredictionCol())
-
-
-def sgd_linear(df: DataFrame, classes: int, penalty: str = "l2", alpha: float = 1e-4, passes: int = 50,
-               features: str = "features", label: str = "label", prediction: str = "prediction"):
-    """Linear classifier with an L2 or L1 hinge loss, or an elastic-net logistic loss."""
-    if penalty == "elasticnet":
-        return C.LogisticRegression(featuresCol=features, labelCol=label, predictionCol=prediction, maxIter=passes,
-                                    regParam=alpha, elasticNetParam=0.15).fit(df)
-    from pyspark.mllib.classification import SVMWithSGD
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.regression import LabeledPoint
-
-    rows = df.select(vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y")).rdd.persist()
-    weights, intercepts = [], []
-    for k in range(classes):
-        points = rows.map(lambda r, k=k: LabeledPoint(1.0 if r["y"] == k else 0.0, Vectors.dense(r["x"])))
-        fit = SVMWithSGD.train(points, iterations=passes, regParam=alpha, regType=penalty, intercept=True)
-        weights.append(np.array(fit.weights))
-        intercepts.append(fit.intercept)
-    rows.unpersist()
-    return RidgeClassifierModel(np.array(weights), np.array(intercepts), features, prediction)
-
-
-def l1_then_svm(df: DataFrame, classes: int, n: int, features: str = "features", label: str = "label"):
-    """Keep the features an L1 model uses, then fit a support vector machine on them: (indices, model)."""
-    selector = sgd_linear(df, classes, "l1", features=features, label=label)
-    used = np.nonzero(np.abs(selector.weights).max(axis=0) > 1e-5)[0].tolist() or list(range(selector.weights.shape[1]))
-    sliced = VectorSlicer(inputCol=features, outputCol="_chosen", indices=used).transform(df)
-    return used, linear_svm(n, featuresCol="_chosen", labelCol=label).fit(sliced)
-
-
 def recursive_elimination(df: DataFrame, features: Sequence[str], label: str, keep: int = 5, c: float = 1.0) -> list[str]:
     """Drop the feature with the smallest squared weight of a linear SVM until `keep` are left."""
     from pyspark.ml.feature import VectorAssembler
@@ -290,53 +170,33 @@ class MeanVote:
         return out.select(*names, array_to_vector("_m").alias("probability"), best.cast("double").alias(self.prediction))
 
 
-def bagging(df: DataFrame, make, replicas: int = 10, seed: int = 0) -> MeanVote:
-    """Fit `make()` on samples drawn with replacement and average the probabilities."""
-    return MeanVote([make().fit(df.sample(withReplacement=True, fraction=1.0, seed=seed + i)) for i in range(replicas)])
+def bootstrap_weight(key: Column, replica: int, seed: int = 0) -> Column:
+    """How often a row is drawn with replacement into a replica: Poisson with mean 1, from a hash of its key."""
+    # 52 bits of the hash as a point of the unit interval, looked up in the distribution function; fixed until 1e-16 is left
+    point = F.shiftrightunsigned(F.xxhash64(key, F.lit(replica), F.lit(seed)), 12) / float(1 << 52)
+    below, term, cuts = 0.0, float(np.exp(-1.0)), []
+    for times in range(1, 18):
+        below += term
+        term /= times
+        cuts.append(below)
+    return sum((point >= F.lit(c)).cast("int") for c in cuts).cast("double")
 
 
-class BoostedModel:
-    """Weighted vote of shallow trees."""
+def bagging(df: DataFrame, make, replicas: int = 10, seed: int = 0, key: str | None = None) -> MeanVote:
+    """Fit `make()` on samples drawn with replacement and average the probabilities.
 
-    def __init__(self, trees, alphas, classes: int, features: str, prediction: str = "prediction"):
-        self.trees, self.alphas, self.classes, self.features, self.prediction = trees, alphas, classes, features, prediction
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        names = df.columns
-        out = df.withColumns({f"_v{k}": F.lit(0.0) for k in range(self.classes)})
-        votes = [f"_v{k}" for k in range(self.classes)]
-        for tree, alpha in zip(self.trees, self.alphas):
-            scored = tree.transform(out)
-            out = scored.select(*names, *[
-                (F.col(v) + F.when(F.col("_guess") == k, alpha).otherwise(0.0)).alias(v) for k, v in enumerate(votes)])
-        best = F.array_position(F.array(*votes), F.greatest(*votes)) - 1
-        return out.select(*names, best.cast("double").alias(self.prediction))
-
-
-def ada_boost(df: DataFrame, classes: int, rounds: int = 50, features: str = "features", label: str = "label") -> BoostedModel:
-    """SAMME boosting of one-split trees (Zhu, Zou, Rosset, Hastie: Multi-class AdaBoost, 2009)."""
-    from analystry.session import cut_lineage
-
-    rows = cut_lineage(df.select(features, label, F.lit(1.0).alias("_weight")))
-    trees, alphas = [], []
-    for i in range(rounds):
-        tree = C.DecisionTreeClassifier(featuresCol=features, labelCol=label, weightCol="_weight", maxDepth=1,
-                                        predictionCol="_guess", rawPredictionCol="_raw", probabilityCol="_prob").fit(rows)
-        scored = tree.transform(rows).select(features, label, "_weight", "_guess")
-        wrong, total = scored.agg(F.sum(F.when(F.col("_guess") != F.col(label), F.col("_weight")).otherwise(0.0)), F.sum("_weight")).first()
-        error = wrong / total
-        if error >= 1.0 - 1.0 / classes:
-            break
-        alpha = float(np.log((1 - error) / max(error, 1e-12)) + np.log(classes - 1.0))
-        trees.append(tree)
-        alphas.append(alpha)
-        if error <= 1e-12:
-            break
-        raised = F.when(F.col("_guess") != F.col(label), F.col("_weight") * float(np.exp(alpha))).otherwise(F.col("_weight"))
-        rows = scored.select(features, label, (raised / total).alias("_weight"))
-        if i % 10 == 9:
-            rows = cut_lineage(rows)
-    return BoostedModel(trees, alphas, classes, features)
+    The draws depend on `key`, or on the whole row without one, so that reruns agree however the rows are partitioned. Estimators that
+    take weights get them, others get each row as often as it is drawn.
+    """
+    drawn = F.col(key) if key else F.struct(*[F.unwrap_udt(c) if t.dataType.typeName() == "udt" else F.col(c) for c, t in zip(df.columns, df.schema)])
+    models = []
+    for i in range(replicas):
+        model, rows = make(), df.withColumn("_times", bootstrap_weight(drawn, i, seed)).where("_times > 0")
+        if model.hasParam("weightCol"):
+            models.append(model.copy({model.getParam("weightCol"): "_times"}).fit(rows))
+        else:
+            models.append(model.fit(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_copy", "_times")))
+    return MeanVote(models)
 
 
 def quadratic_discriminant(df: DataFrame, columns: Sequence[str], label: str) -> list[dict]:

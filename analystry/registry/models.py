@@ -36,7 +36,7 @@ def _(spark, sf_dir):
 @query("model_logistic_cv")
 def _(spark, sf_dir):
     train, test = vectors(spark, sf_dir)
-    return hits(M.logistic_cv(train.count(), folds=2, exponents=(-1, 0, 1), maxIter=20).fit(train).transform(test))
+    return hits(M.logistic_cv(train.count(), maxIter=100).fit(train).transform(test))
 
 
 @query("model_ridge")
@@ -48,13 +48,13 @@ def _(spark, sf_dir):
 @query("model_perceptron")
 def _(spark, sf_dir):
     train, test = vectors(spark, sf_dir)
-    return hits(M.online_linear(train, CLASSES, "perceptron", passes=10).transform(test))
+    return hits(M.online_linear(train, CLASSES, "perceptron").transform(test))
 
 
 @query("model_passive_aggressive")
 def _(spark, sf_dir):
     train, test = vectors(spark, sf_dir)
-    return hits(M.online_linear(train, CLASSES, "passive", passes=10).transform(test))
+    return hits(M.online_linear(train, CLASSES, "passive").transform(test))
 
 
 @query("model_random_forest")
@@ -66,20 +66,20 @@ def _(spark, sf_dir):
 
 @query("model_linear_svm")
 def _(spark, sf_dir):
-    train, test = two_class(spark, sf_dir)
-    return hits(M.linear_svm(train.count(), maxIter=30).fit(train).transform(test))
+    train, test = vectors(spark, sf_dir)
+    return hits(M.svm_classifier(train, CLASSES).transform(test))
 
 
 @query("model_sgd_l2")
 def _(spark, sf_dir):
-    train, test = two_class(spark, sf_dir)
-    return hits(M.sgd_linear(train, 2, "l2").transform(test))
+    train, test = vectors(spark, sf_dir)
+    return hits(M.sgd_linear(train, CLASSES, "l2").transform(test))
 
 
 @query("model_sgd_l1")
 def _(spark, sf_dir):
-    train, test = two_class(spark, sf_dir)
-    return hits(M.sgd_linear(train, 2, "l1").transform(test))
+    train, test = vectors(spark, sf_dir)
+    return hits(M.sgd_linear(train, CLASSES, "l1").transform(test))
 
 
 @query("model_elastic_net")
@@ -90,10 +90,8 @@ def _(spark, sf_dir):
 
 @query("model_l1_then_svm")
 def _(spark, sf_dir):
-    from pyspark.ml.feature import VectorSlicer
-    train, test = two_class(spark, sf_dir)
-    used, model = M.l1_then_svm(train, 2, train.count())
-    return hits(model.transform(VectorSlicer(inputCol="features", outputCol="_chosen", indices=used).transform(test)))
+    train, test = vectors(spark, sf_dir)
+    return hits(M.l1_then_svm(train, CLASSES)[1].transform(test))
 
 
 @query("model_bernoulli_bayes")
@@ -115,8 +113,8 @@ def _(spark, sf_dir):
 
 @query("model_ada_boost")
 def _(spark, sf_dir):
-    train, test = two_class(spark, sf_dir)
-    return hits(M.ada_boost(train, 2, rounds=5).transform(test))
+    train, test = vectors(spark, sf_dir)
+    return hits(M.ada_boost(train, CLASSES).transform(test))
 
 
 @query("model_perceptron_net")
@@ -129,14 +127,14 @@ def _(spark, sf_dir):
 @query("model_rbf_svm")
 def _(spark, sf_dir):
     train, test = (M.fourier_features(d, "features", "waves", gamma=2.0) for d in two_class(spark, sf_dir))
-    return hits(M.linear_svm(train.count(), featuresCol="waves", maxIter=30).fit(train).transform(test))
+    return hits(M.svm_classifier(train, 2, features="waves").transform(test))
 
 
 @query("model_bagging_logistic")
 def _(spark, sf_dir):
     train, test = vectors(spark, sf_dir)
     n = train.count()
-    return hits(M.bagging(train, lambda: M.logistic(n, maxIter=20), replicas=3).transform(test))
+    return hits(M.bagging(train, lambda: M.logistic(n, maxIter=100), key="vec_id").transform(test))
 
 
 @query("model_pca_by_variance")
