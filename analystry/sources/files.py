@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from analystry.session import scratch_path
+
 
 def read_delimited(spark: SparkSession, path: str, sep: str, schema: str) -> DataFrame:
     """Delimited text with a header line, typed by the given schema."""
@@ -83,16 +86,42 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", decode_page(F.col("content")).alias("text"))
 
 
+#: How Spark names the folder of rows without a value.
+NO_PROBLEM = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_answers(df: DataFrame, path: str) -> None:
-    """(problem, unknown-text, predicted-author): one folder of JSON rows per problem.
+    """(problem, unknown-text, predicted-author): one file `answers-<problem>.json` per problem, an array of objects by text.
 
-    A problem with very many texts is simply more files.
+    Each problem's rows are sorted and written as a stream by one task, since they are one file; problems are spread over all tasks.
+    The files appear in `path`, replacing those of the same problems, only when all are written. Slashes in names are escaped; rows
+    without a problem go to `answers-.json`; a table without rows gives an empty folder.
     """
-    df.write.partitionBy("problem").json(path)
+    spark, staged = df.sparkSession, scratch_path(df.sparkSession, "answers")
+    order = Window.partitionBy("problem").orderBy("unknown-text", "predicted-author")
+    line = F.to_json(F.struct("unknown-text", "predicted-author"), {"ignoreNullFields": "false"})
+    rows = df.select("problem", F.when(F.row_number().over(order) == 1, "[").otherwise(" ").alias("head"), line.alias("line"),
+                     F.when(F.lead(F.lit(1)).over(order).isNull(), "]").otherwise(",").alias("tail"))
+    rows.select("problem", F.concat("head", "line", "tail").alias("value")).write.partitionBy("problem").text(staged)
+    java, settings = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source, target = java.Path(staged), java.Path(path)
+    files = source.getFileSystem(settings)
+    to = target.getFileSystem(settings)
+    to.mkdirs(target)
+    for folder in files.listStatus(source):
+        name = folder.getPath().getName()
+        if name.startswith("problem="):
+            [part] = [f.getPath() for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            problem = "" if name.endswith(NO_PROBLEM) else unquote(name[8:]).replace("/", "%2F")
+            java.FileUtil.copy(files, part, to, java.Path(target, f"answers-{problem}.json"), True, True, settings)
+    files.delete(source, True)
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("`unknown-text` string, `predicted-author` string, problem string").json(path)
+    """(unknown-text, predicted-author, problem) of a folder of answer files."""
+    rows = spark.read.schema("`unknown-text` string, `predicted-author` string").option("multiLine", True).json(f"{path}/answers-*.json")
+    name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/answers-([^/]*)\.json$", 1))
+    return rows.withColumn("problem", F.nullif(F.replace(name, F.lit("%2F"), F.lit("/")), F.lit("")))
 
 
 def load_labelled(df: DataFrame, key: str, subset: str = "all", test_percent: int = 33, seed: int = 0,
