@@ -19,7 +19,7 @@ HEADLINE = [
     "top_customers", "group_sum", "pivot_count", "quantiles", "winsorize", "ks_stats", "auc", "woe_iv", "ks_panel",
     "corr_matrix", "histogram_100", "mahalanobis", "rank_bin", "sort_permutation", "echo_shift_per_user", "poi_rank_by_impact",
     "quadrant_points", "nearest_distances", "city_table", "jsonp_posts", "char_ngrams", "tfidf_word_ngrams", "chi2_terms",
-    "html_unescape", "term_index", "model_ridge",
+    "html_unescape", "term_index", "model_ridge", "model_linear_svm", "model_ada_boost", "answers_sink",
 ]
 
 
