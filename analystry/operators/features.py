@@ -1,8 +1,8 @@
 """Text features in long form: (document, term, weight) rows instead of a matrix.
 
-A document's text is shuffled once, by document; counting its terms and normalising its weights
-then happens where the text is. Only document frequencies are shuffled by term, and those are
-summed in the map tasks first.
+A document's terms are counted inside its row, so texts are not shuffled. What several steps read, the
+(document, term, tf) rows or the weights made from them, is written once (`kept`) and never formed again.
+Document frequencies are summed in the map tasks before they are shuffled by term.
 """
 
 from __future__ import annotations
@@ -14,15 +14,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from analystry.functions import text as T
-from analystry.operators.ordering import ordered_index, range_count
+from analystry.operators.ordering import ordered_index
 from analystry.operators.quantiles import scalars
+from analystry.session import scratch_path, spread
+
+#: Frequent short runs that a plan holds as literals.
+MOST_MARKERS = 8192
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], terms: Column) -> DataFrame:
-    """(keys..., term, tf) of an array of terms per document."""
-    parts = max(range_count(docs), docs.sparkSession.sparkContext.defaultParallelism)
-    placed = docs.repartition(parts, *keys)
-    return placed.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(keys..., term, tf) of an array of terms per document; one row of docs is one document."""
+    placed = spread(docs, *keys).select(*keys, F.explode(T.counted(terms)).alias("_c"))
+    return placed.select(*keys, "_c.term", "_c.tf")
+
+
+def kept(rows: DataFrame, label: str = "terms") -> DataFrame:
+    """The same rows, written below the shared folder: every later step reads only the columns it needs."""
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def frequent_runs(docs: DataFrame, items: Column, low: int, high: int, glue: str, marker: int, min_df: float) -> Column:
+    """The runs of low..high items of a document, less those that cannot be in a share of min_df of the documents.
+
+    A run is in no more documents than any run of `marker` items inside it, so only the short runs are counted over all
+    documents first; the many rare long ones are then neither formed nor shuffled. There are at most (mean distinct
+    short runs per document) / min_df frequent ones, however many documents there are; beyond MOST_MARKERS they are
+    not written into the plan and every run is formed, which gives the same vocabulary.
+    """
+    n = docs.count()
+    short = F.array_distinct(T.runs(items, marker, marker, glue))
+    found = (spread(docs).select(F.explode(short).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+             .where(F.col("df") >= F.lit(float(n)) * min_df).select("term").limit(MOST_MARKERS + 1).collect())
+    if len(found) > MOST_MARKERS:
+        return T.runs(items, low, high, glue)
+    return T.runs_from(items, low, high, glue, marker, sorted(r["term"] for r in found))
 
 
 def char_terms(column: str, low: int = 2, high: int = 5) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from analystry.functions import text as T
 from analystry.functions.stopwords import ENGLISH
 from analystry.operators import features as X
 from analystry.registry.book import query, rounded
@@ -15,10 +16,20 @@ def documents(spark, sf_dir):
 
 
 def weighted(df, terms, keys=("doc_id",), min_df=0.05, max_df=1.0):
-    counts = X.term_counts(df, list(keys), terms)
+    counts = X.kept(X.term_counts(df, list(keys), terms))
     return X.tfidf(counts, X.vocabulary(counts, df, min_df=min_df, max_df=max_df), list(keys))
 
 
+def char_terms(docs, text=None, min_df=0.05):
+    letters = T.characters(F.col("text") if text is None else text)
+    return X.frequent_runs(docs, letters, 2, 5, "", 4, min_df)
+
+
+def word_terms(docs, lowercase=False, min_df=0.05):
+    words = T.word_tokens(F.lower("text") if lowercase else F.col("text"))
+    return X.frequent_runs(docs, words, 1, 3, " ", 1, min_df)
+
+
 CHARS = """c AS (SELECT doc_id, unnest(string_split(text,'')) AS a, generate_subscripts(string_split(text,''),1) AS i FROM documents),
 l AS (SELECT doc_id, a, lead(a,1) OVER w AS b, lead(a,2) OVER w AS c, lead(a,3) OVER w AS d, lead(a,4) OVER w AS e FROM c
       WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
@@ -43,7 +54,8 @@ w AS (SELECT doc_id, term, w/sqrt(sum(w*w) OVER (PARTITION BY doc_id)) AS weight
 @query("tfidf_char_ngrams", f"""WITH {CHARS}, {WEIGHTS.format(low=0.05, high=1.0)}
 SELECT doc_id, count(*) AS terms, round(sum(weight),6) AS total, round(max(weight),6) AS top FROM w GROUP BY doc_id""")
 def _(spark, sf_dir):
-    w = weighted(documents(spark, sf_dir), X.char_terms("text"))
+    docs = documents(spark, sf_dir)
+    w = weighted(docs, char_terms(docs))
     return rounded(w.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("total"), F.max("weight").alias("top")))
 
@@ -51,20 +63,22 @@ def _(spark, sf_dir):
 @query("tfidf_masked_char_ngrams", f"""WITH {CHARS.replace("(text,", f"(regexp_replace(text,'{W}','x','g'),")}, {WEIGHTS.format(low=0.05, high=1.0)}
 SELECT doc_id, term, round(weight,6) AS weight FROM w""")
 def _(spark, sf_dir):
-    from analystry.functions.text import all_char_ngrams, mask_word_characters
-    return rounded(weighted(documents(spark, sf_dir), all_char_ngrams(mask_word_characters(F.col("text")), 2, 5)))
+    docs = documents(spark, sf_dir)
+    return rounded(weighted(docs, char_terms(docs, T.mask_word_characters(F.col("text")))))
 
 
 @query("tfidf_word_ngrams", f"""WITH {WORDS.replace('TEXT', 'text')}, {RUNS}, {WEIGHTS.format(low=0.05, high=1.0)}
 SELECT doc_id, term, round(weight,6) AS weight FROM w""")
 def _(spark, sf_dir):
-    return rounded(weighted(documents(spark, sf_dir), X.word_terms("text")))
+    docs = documents(spark, sf_dir)
+    return rounded(weighted(docs, word_terms(docs)))
 
 
 @query("tfidf_word_ngrams_lowercase", f"""WITH {WORDS.replace('TEXT', 'lower(text)')}, {RUNS}, {WEIGHTS.format(low=0.05, high=1.0)}
 SELECT doc_id, count(*) AS terms, round(sum(weight),6) AS total FROM w GROUP BY doc_id""")
 def _(spark, sf_dir):
-    w = weighted(documents(spark, sf_dir), X.word_terms("text", lowercase=True))
+    docs = documents(spark, sf_dir)
+    w = weighted(docs, word_terms(docs, lowercase=True))
     return rounded(w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("total")))
 
 
@@ -125,7 +139,7 @@ o AS (SELECT term, lang, sum(weight) AS o FROM w JOIN y USING (doc_id) GROUP BY
 c AS (SELECT term, sum(o*o/share)/sum(o) - sum(o) AS chi2 FROM o JOIN p USING (lang) GROUP BY term ORDER BY chi2 DESC, encode(term) LIMIT 200)
 SELECT term, count(*) AS df FROM w JOIN c USING (term) GROUP BY term""")
 def _(spark, sf_dir):
-    w, labels = plain(spark, sf_dir), documents(spark, sf_dir).select("doc_id", "lang")
+    w, labels = X.kept(plain(spark, sf_dir), "weights"), documents(spark, sf_dir).select("doc_id", "lang")
     kept = X.select_k_best(w, X.chi2_scores(w, labels, "doc_id", "lang"), 200)
     return kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -133,7 +147,7 @@ def _(spark, sf_dir):
 @query("max_abs_term_weights", f"""WITH {PLAIN}, {WEIGHTS.format(low=0.05, high=0.5)}
 SELECT doc_id, term, round(weight/max(abs(weight)) OVER (PARTITION BY term),6) AS weight FROM w""")
 def _(spark, sf_dir):
-    w = weighted(documents(spark, sf_dir), X.plain_words("text", ENGLISH), min_df=0.05, max_df=0.5)
+    w = X.kept(weighted(documents(spark, sf_dir), X.plain_words("text", ENGLISH), min_df=0.05, max_df=0.5), "weights")
     return rounded(X.scale_by_top(w, X.max_abs_terms(w)))
 
 
@@ -147,7 +161,7 @@ b AS (SELECT doc_id, lang, prior + sum(weight*ln((coalesce(s,0)+0.01::DOUBLE)/(t
       FROM (SELECT * FROM q, pr JOIN tt USING (lang)) x LEFT JOIN s USING (lang, term) GROUP BY doc_id, lang, prior)
 SELECT doc_id, lang AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS i FROM b) WHERE i=1""")
 def _(spark, sf_dir):
-    w, labels = plain(spark, sf_dir), documents(spark, sf_dir).select("doc_id", "lang")
+    w, labels = X.kept(plain(spark, sf_dir), "weights"), documents(spark, sf_dir).select("doc_id", "lang")
     held_out = F.col("doc_id") % 5 == 0
     known = labels.where(~held_out)
     model = X.naive_bayes_fit(w.where(~held_out), known, "doc_id", "lang")
