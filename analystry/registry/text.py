@@ -22,7 +22,7 @@ def weighted(df, terms, keys=("doc_id",), min_df=0.05, max_df=1.0):
 
 def char_terms(docs, text=None, min_df=0.05):
     letters = T.characters(F.col("text") if text is None else text)
-    return X.frequent_runs(docs, letters, 2, 5, "", 4, min_df)
+    return X.frequent_runs(docs, letters, 2, 5, "", 3, min_df)
 
 
 def word_terms(docs, lowercase=False, min_df=0.05):
