@@ -162,23 +162,19 @@ def index_terms(terms: DataFrame) -> DataFrame:
 
 
 @F.udf(VectorUDT())
-def _sparse(size, cells):
+def sparse_vector(size, cells):
     return Vectors.sparse(size, [(c["idx"], c["weight"]) for c in cells])
 
 
-def to_vectors(weights: DataFrame, docs: DataFrame, key: str, index: DataFrame, name: str = "features",
-               by: Sequence[str] = ()) -> DataFrame:
-    """docs with one sparse vector each; a document without known terms gets an empty one.
+def vector_cells(weights: DataFrame, index: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """(key, cells): the terms of a document as (idx, weight) in order of idx; `by` when groups number their terms apart."""
+    cell = F.struct(F.col("idx").cast("int").alias("idx"), "weight")
+    return weights.join(index, [*by, "term"]).groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
-    With `by` the index numbers the terms of every group apart and gives their count as `size`.
-    """
-    by = list(by)
-    cells = weights.join(index, [*by, "term"]).groupBy(key).agg(F.collect_list(F.struct("idx", "weight")).alias("_cells"))
-    if by:
-        sizes = index.groupBy(*by).agg(F.max("size").cast("int").alias("_size"))
-        placed = docs.join(sizes, by)
-    else:
-        placed = docs.withColumn("_size", scalars(index.agg(F.count(F.lit(1)).cast("int").alias("n")))["n"])
-    none = F.array().cast("array<struct<idx:bigint,weight:double>>")
-    joined = placed.join(cells, key, "left")
-    return joined.withColumn(name, _sparse("_size", F.coalesce("_cells", none))).drop("_cells", "_size")
+
+def to_vectors(weights: DataFrame, docs: DataFrame, key: str, index: DataFrame, name: str = "features") -> DataFrame:
+    """docs with one sparse vector each; a document without known terms gets an empty one."""
+    size = F.lit(scalars(index.agg(F.count(F.lit(1)).cast("int").alias("n")))["n"])
+    none = F.array().cast("array<struct<idx:int,weight:double>>")
+    joined = docs.join(vector_cells(weights, index, key).withColumnRenamed("cells", "_cells"), key, "left")
+    return joined.withColumn(name, sparse_vector(size, F.coalesce("_cells", none))).drop("_cells")

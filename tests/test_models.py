@@ -132,11 +132,11 @@ def test_authorship_versions_on_a_small_collection(spark):
         for label, line in styles.items():
             for k in range(5):
                 role = "unknown" if k == 4 else "candidate"
-                rows.append((i, problem, role, label, f"{label}{k}.txt", line * (k + 2)))
+                rows.append((i, problem, {"p": "en", "q": "fr"}[problem], role, label, f"{label}{k}.txt", line * (k + 2)))
                 i += 1
-    docs = spark.createDataFrame(rows, "doc_id long, problem string, role string, label string, filename string, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, problem string, language string, role string, label string, filename string, text string")
     for version in (1, 2):
-        found = attribute(docs, [("p", "en"), ("q", "fr")], version, iterations=15, folds=2, exponents=(0,)).collect()
+        found = attribute(docs, version, iterations=15, folds=2, strengths=(0.1, 1.0)).collect()
         assert len(found) == 6
         assert all(r["unknown-text"].startswith(r["predicted-author"]) for r in found)
 
