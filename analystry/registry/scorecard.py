@@ -120,17 +120,17 @@ def _(spark, sf_dir):
     return rounded(S.ks_histogram_report(scored(spark, sf_dir), "value", "y"))
 
 
-DIMS = ["f0", "f1", "f2", "f3", "f4"]
+DIMS = [f"f{i}" for i in range(64)]
 CLASSES = list(range(10))
 
 
-def vectors(spark, sf_dir, dims=5):
+def vectors(spark, sf_dir, dims=64):
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(dims)])
 
 
 @query("ks_panel", """
-WITH l AS (SELECT 'f'||(i-1) AS feature, embedding[i]::DOUBLE AS x, label FROM embeddings, generate_series(1,5) t(i)),
+WITH l AS (SELECT 'f'||(i-1) AS feature, embedding[i]::DOUBLE AS x, label FROM embeddings, generate_series(1,64) t(i)),
 k AS (SELECT feature, x, c AS class, CASE WHEN label=c THEN 1 ELSE 0 END AS y FROM l, generate_series(0,9) u(c)),
 g AS (SELECT feature, class, x, sum(1-y) AS n0, sum(y) AS n1 FROM k GROUP BY 1,2,3),
 c AS (SELECT *, sum(n0) OVER w AS c0, sum(n1) OVER w AS c1, sum(n0) OVER (PARTITION BY feature, class) AS t0,

@@ -102,10 +102,10 @@ def _(spark, sf_dir):
     return Q.red_rows(rows, points, "key", "l_extendedprice").select("key", "l_extendedprice")
 
 
-DIMS = [f"f{i}" for i in range(5)]
-OUTLIER = ("""e AS (SELECT vec_id, """ + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(5)) + """ FROM embeddings),
-q AS (SELECT """ + ", ".join(f"median(f{i}) m{i}, quantile_cont(f{i},0.975)-quantile_cont(f{i},0.025) w{i}" for i in range(5)) + """ FROM e),
-s AS (SELECT vec_id, [""" + ", ".join(f"(f{i}-m{i})/w{i}" for i in range(5)) + """] AS v FROM e, q),
+DIMS = [f"f{i}" for i in range(64)]
+OUTLIER = ("""e AS (SELECT vec_id, """ + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(64)) + """ FROM embeddings),
+q AS (SELECT """ + ", ".join(f"median(f{i}) m{i}, quantile_cont(f{i},0.975)-quantile_cont(f{i},0.025) w{i}" for i in range(64)) + """ FROM e),
+s AS (SELECT vec_id, [""" + ", ".join(f"(f{i}-m{i})/w{i}" for i in range(64)) + """] AS v FROM e, q),
 d AS (SELECT a.vec_id, list_distance(a.v,b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v,b.v), b.vec_id) AS k
       FROM s a, s b WHERE a.vec_id<>b.vec_id),
 l AS (SELECT vec_id, avg(d) AS loc FROM d WHERE k<=49 GROUP BY 1),
@@ -115,7 +115,7 @@ w AS (SELECT vec_id, (least(greatest(loc,lo),hi)-lo)/(hi-lo) AS loc FROM l, c)""
 
 def outliers(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    e = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(5)])
+    e = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
     return U.outlier_scores(e, "vec_id", DIMS)
 
 
