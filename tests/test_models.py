@@ -34,6 +34,34 @@ def test_neighbours_equal_brute_force(spark, copies, monkeypatch):
     assert got == brute_force(x, x, 7, same=True)
 
 
+def test_base_rows_without_a_key_hide_no_neighbour(spark):
+    base = spark.createDataFrame([(None, [0.0, float(i)]) for i in range(4)] + [(i, [9.0, float(i)]) for i in range(5)], "id long, v array<double>")
+    asked = spark.createDataFrame([(7, [0.0, 0.0])], "id long, v array<double>")
+    assert [r["base_id"] for r in K.knn_join(asked, base, 3, "id", "id", "v").orderBy("rnk").collect()] == [0, 1, 2]
+
+
+def test_query_blocks_hold_near_cells_and_split_large_ones():
+    first, many, blocks = K._blocks_of(np.array([10, 10, 100, 0, 10]), np.array([[0.0], [9.0], [20.0], [30.0], [1.0]]), 5)
+    assert (many[2], first[0], first[4]) == (4, 0, 0) and blocks == max(first + many)
+
+
+def test_best_of_a_block_stay_bounded_while_cells_stream(spark, monkeypatch):
+    import pyarrow as pa
+    x = np.random.default_rng(3).normal(size=(400, 8))
+    monkeypatch.setattr(K, "PAIRS_AT_ONCE", 64)
+    found = K._Search(pa.array(np.arange(50)), x[:50], x[:1], 5, True)
+    for at in range(0, 400, 40):
+        # rows have two ids each; the second is larger
+        ids = np.stack([np.arange(at, at + 40), np.arange(at, at + 40) + 1000], axis=1).ravel()
+        found.add(0, np.inf, x[at:at + 40], np.arange(0, 81, 2), ids)
+        assert found.held < 50 * 5 and found.dist.shape == (50, 5)
+    rows = pa.Table.from_batches(list(found.answers())).to_pylist()
+    d = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(50):
+        best = sorted((round(float(d[i, j]), 9), b) for j in range(400) for b in (j, j + 1000) if b != i)[:5]
+        assert sorted((round(r["dist"], 9), r["base_id"]) for r in rows if r["query_id"] == i) == best
+
+
 def test_fewer_base_rows_than_neighbours(spark):
     df = frame(spark, np.eye(3), [0, 1, 2])
     assert K.knn_join(df, df, 10, "id", "id", "v").count() == 9
