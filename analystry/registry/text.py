@@ -114,13 +114,13 @@ def _(spark, sf_dir):
 @query("hashed_counts")
 def _(spark, sf_dir):
     from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
     docs = documents(spark, sf_dir).select("doc_id", X.plain_words("text", ENGLISH).alias("words"))
     hashed = HashingTF(numFeatures=2 ** 16, inputCol="words", outputCol="h").transform(docs)
     unit = Normalizer(p=2.0, inputCol="h", outputCol="u").transform(hashed)
-    values = vector_to_array("u")
+    # the stored entries only: as an array a text would be 2^16 numbers, nearly all of them zero
+    values = F.unwrap_udt("u")["values"]
     return rounded(unit.select("doc_id", F.size(F.filter(values, lambda x: x > 0)).alias("slots"),
-                               F.array_max(values).alias("top")))
+                               F.coalesce(F.array_max(values), F.lit(0.0)).alias("top")))
 
 
 @query("chi2_terms", f"""WITH {PLAIN}, {WEIGHTS.format(low=0.0, high=0.5)},

@@ -64,3 +64,13 @@ def test_too_many_markers_form_every_run(docs, monkeypatch):
     monkeypatch.setattr(X, "MOST_MARKERS", 1)
     runs = X.frequent_runs(docs, T.word_tokens(F.col("text")), 1, 3, " ", 1, 0.1)
     assert found(X.term_counts(docs, ["doc_id"], runs)) == expected(str.split, 1, 3, " ")
+
+
+def test_hashed_texts_are_not_made_dense(spark, tmp_path):
+    from analystry.registry.book import QUERIES
+    spark.createDataFrame([(1, "x", "pear plum pear"), (2, "x", ""), (3, "x", None)], "doc_id long, lang string, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    found = QUERIES["hashed_counts"](spark, str(tmp_path))
+    assert "vector_to_array" not in found._jdf.queryExecution().logical().toString()
+    rows = {r["doc_id"]: (r["slots"], r["top"]) for r in found.where("doc_id < 3").collect()}
+    assert rows == {1: (2, round(2 / 5 ** 0.5, 6)), 2: (0, 0.0)}
