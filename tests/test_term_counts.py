@@ -74,3 +74,10 @@ def test_hashed_texts_are_not_made_dense(spark, tmp_path):
     assert "vector_to_array" not in found._jdf.queryExecution().logical().toString()
     rows = {r["doc_id"]: (r["slots"], r["top"]) for r in found.where("doc_id < 3").collect()}
     assert rows == {1: (2, round(2 / 5 ** 0.5, 6)), 2: (0, 0.0)}
+
+
+def test_word_vectors_train_on_all_cores(spark):
+    from analystry.plans.words import word_vectors
+    model = word_vectors(spark.createDataFrame([(["a", "b"] * 5,)] * 40, "words array<string>"), size=4)
+    assert model.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r["word"] for r in model.getVectors().collect()) == ["a", "b"]
