@@ -81,3 +81,8 @@ def test_word_vectors_train_on_all_cores(spark):
     model = word_vectors(spark.createDataFrame([(["a", "b"] * 5,)] * 40, "words array<string>"), size=4)
     assert model.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert sorted(r["word"] for r in model.getVectors().collect()) == ["a", "b"]
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    from analystry.session import spread
+    assert spread(spark.range(1000, numPartitions=4), "id", rows=100).rdd.getNumPartitions() == 10
