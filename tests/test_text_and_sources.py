@@ -151,3 +151,11 @@ def test_archive_takes_the_main_photo_in_any_order_and_counts_new_ones(spark, tm
 def test_pages_are_counted_off(spark):
     assert [r[0] for r in A.page_ranges(spark.range(120)).orderBy("start").collect()] == [0, 50, 100]
     assert A.page_ranges(spark.range(0)).count() == 0
+
+
+def test_char_ngrams_are_found_without_a_lambda_per_character(spark):
+    text = "a\U0001F600b\nc"
+    df = spark.createDataFrame([(text,), ("ab",), ("",), (None,)], "t string")
+    found = df.select(T.char_ngrams(F.col("t"), 3, 3).alias("g"))
+    assert [r["g"] for r in found.collect()] == [[text[:3], text[1:4], text[2:]], [], [], []]
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
