@@ -17,12 +17,13 @@ def documents(spark, sf_dir):
 
 def weighted(df, terms, keys=("doc_id",), min_df=0.05, max_df=1.0):
     counts = X.kept(X.term_counts(df, list(keys), terms))
-    return X.tfidf(counts, X.vocabulary(counts, df, min_df=min_df, max_df=max_df), list(keys))
+    # written, its size is known: a small vocabulary goes to the counts, which are then not shuffled by term
+    terms = X.kept(X.vocabulary(counts, df, min_df=min_df, max_df=max_df), "vocabulary")
+    return X.tfidf(counts, terms, list(keys))
 
 
 def char_terms(docs, text=None, min_df=0.05):
-    letters = T.characters(F.col("text") if text is None else text)
-    return X.frequent_runs(docs, letters, 2, 5, "", 3, min_df)
+    return X.frequent_runs(docs, F.col("text") if text is None else text, 2, 5, "", 3, min_df)
 
 
 def word_terms(docs, lowercase=False, min_df=0.05):

@@ -86,3 +86,25 @@ def test_word_vectors_train_on_all_cores(spark):
 def test_spread_bounds_the_rows_of_a_task(spark):
     from analystry.session import spread
     assert spread(spark.range(1000, numPartitions=4), "id", rows=100).rdd.getNumPartitions() == 10
+
+
+def test_runs_are_counted_in_batches(spark, monkeypatch):
+    """Counting is done on Arrow batches, also where a slice ends inside a batch, codes are renumbered or items repeat the glue."""
+    import pyarrow as pa
+
+    from analystry.operators import run_counts as R
+    docs = spark.createDataFrame([(1, "añ𝒳a añ"), (None, "xy"), (1, "añ𝒳a añ"), (2, ""), (3, None)], "doc_id long, text string")
+    counted = X.term_counts(docs, ["doc_id"], X.char_terms("text"))
+    assert "MapInArrow" in counted._jdf.queryExecution().executedPlan().toString()
+    rows = Counter((r["doc_id"], r["term"], r["tf"]) for r in counted.collect())
+    every = Counter({(1, term, tf): 2 for term, tf in grams("añ𝒳a añ", 2, 5, "").items()})
+    assert rows == every + Counter({(None, "xy", 1): 1})
+
+    words = [["a", "a b", "b", "a"], [], ["a", "b", "a b", "a", "b"], ["c"] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3]), pa.array(words)], names=["key", "items"])
+    wanted = sum((Counter({(key, term): tf for term, tf in grams(items, 1, 3, " ").items()}) for key, items in enumerate(words)), Counter())
+    for part, codes in ((R.SLICE, R.MOST_CODES), (4, 8)):
+        monkeypatch.setattr(R, "SLICE", part)
+        monkeypatch.setattr(R, "MOST_CODES", codes)
+        found = [cell for b in R.counter(R.Runs(None, 1, 3, " "))([batch]) for cell in zip(*b.to_pydict().values(), strict=True)]
+        assert sorted(found) == sorted((*cell, tf) for cell, tf in wanted.items())
