@@ -108,3 +108,15 @@ def test_runs_are_counted_in_batches(spark, monkeypatch):
         monkeypatch.setattr(R, "MOST_CODES", codes)
         found = [cell for b in R.counter(R.Runs(None, 1, 3, " "))([batch]) for cell in zip(*b.to_pydict().values(), strict=True)]
         assert sorted(found) == sorted((*cell, tf) for cell, tf in wanted.items())
+
+
+def test_vectors_are_made_in_batches(spark):
+    weights = spark.createDataFrame([(1, "b", 0.25), (1, "a", 0.5), (2, "b", 1.0)], "doc_id long, term string, weight double")
+    index = spark.createDataFrame([("a", 2), ("b", 0), ("c", 1)], "term string, idx long")
+    docs = spark.createDataFrame([(1, "x"), (2, None), (2, "z"), (3, "y"), (None, "y")], "doc_id long, lang string")
+    rows = X.to_vectors(weights, docs, "doc_id", index)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "BatchEvalPython" not in plan
+    found = {(r["doc_id"], r["lang"]): (r["features"].size, r["features"].indices.tolist(), r["features"].values.tolist()) for r in rows.collect()}
+    assert found == {(1, "x"): (3, [0, 2], [0.25, 0.5]), (2, None): (3, [0], [1.0]), (2, "z"): (3, [0], [1.0]), (3, "y"): (3, [], []), (None, "y"): (3, [], [])}
+    assert X.to_vectors(weights, docs.where("false"), "doc_id", index).count() == 0
