@@ -16,8 +16,11 @@ def archive_stream(spark: SparkSession, source: str, target: str, checkpoint: st
     write_manifest(spark.createDataFrame([], MANIFEST), target)  # lets the first batch read it
 
     def add(batch: DataFrame, _number: int) -> None:
-        session = batch.sparkSession
-        write_manifest(new_photos(photos_of(posts_of(batch, "value")), read_manifest(session, target)), target)
+        photos = photos_of(posts_of(batch, "value")).persist()  # both the days and the new photos need them
+        try:
+            write_manifest(new_photos(photos, read_manifest(batch.sparkSession, target)), target)
+        finally:
+            photos.unpersist()
 
     pages = spark.readStream.schema("value string").option("wholetext", "true").text(source)
     running = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
