@@ -139,7 +139,8 @@ def naive_bayes_fit(weights: DataFrame, labels: DataFrame, key: str, label: str,
     size = scalars(weights.agg(F.countDistinct("term").alias("v")))["v"]
     n = scalars(labels.agg(F.count(F.lit(1)).alias("n")))["n"]
     joined = weights.join(labels.select(key, F.col(label).alias("label")), key)
-    sums = joined.groupBy("label", "term").agg(F.sum("weight").alias("_s"))
+    # written once: the known terms, the gains and the totals all read them
+    sums = kept(joined.groupBy("label", "term").agg(F.sum("weight").alias("_s")), "sums")
     gains = sums.select("label", "term", (F.ln(F.col("_s") + alpha) - F.ln(F.lit(alpha))).alias("gain"))
     totals = sums.groupBy("label").agg(F.sum("_s").alias("_t"))
     priors = labels.groupBy(F.col(label).alias("label")).agg(F.ln(F.count(F.lit(1)) / F.first(n)).alias("prior"))

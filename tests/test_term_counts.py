@@ -120,3 +120,12 @@ def test_vectors_are_made_in_batches(spark):
     found = {(r["doc_id"], r["lang"]): (r["features"].size, r["features"].indices.tolist(), r["features"].values.tolist()) for r in rows.collect()}
     assert found == {(1, "x"): (3, [0, 2], [0.25, 0.5]), (2, None): (3, [0], [1.0]), (2, "z"): (3, [0], [1.0]), (3, "y"): (3, [], []), (None, "y"): (3, [], [])}
     assert X.to_vectors(weights, docs.where("false"), "doc_id", index).count() == 0
+
+
+def test_class_sums_are_made_once(spark):
+    weights = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (2, "b", 1.0), (2, "b", 1.0)], "doc_id long, term string, weight double")
+    labels = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, lang string")
+    gains, classes = X.naive_bayes_fit(weights, labels, "doc_id", "lang")
+    assert "Join" not in gains._jdf.queryExecution().optimizedPlan().toString()
+    asked = spark.createDataFrame([(7, "a", 1.0), (8, "b", 1.0), (9, "new", 1.0)], "doc_id long, term string, weight double")
+    assert {r["doc_id"]: r["predicted"] for r in X.naive_bayes_predict(asked, (gains, classes), "doc_id").collect()} == {7: "x", 8: "y"}
