@@ -54,10 +54,9 @@ def _(spark, sf_dir):
 @query("labelled_text_files", "SELECT lang AS problem, source AS label, md5(text) AS h, count(*) AS n FROM documents GROUP BY ALL")
 def _(spark, sf_dir):
     path = scratch_path(spark, "texts")
-    docs = table(spark, sf_dir, "documents").select("lang", "source", "text")
-    docs.write.option("maxRecordsPerFile", 1).partitionBy("lang", "source").text(path)
+    S.write_labelled_texts(table(spark, sf_dir, "documents"), path, ["lang", "source"])
     back = S.read_labelled_texts(spark, path)
-    # the text writer ends each file with one line end
+    # the writer ends each file with one line end
     return back.groupBy("problem", "label", F.md5(F.regexp_replace("text", r"\n\z", "")).alias("h")).agg(F.count(F.lit(1)).alias("n"))
 
 

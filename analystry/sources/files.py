@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 from collections.abc import Sequence
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +64,50 @@ def read_problem_headers(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("problem", "unknown_folder", F.col("_a.`author-name`").alias("author"))
 
 
+#: How Spark names the folder of rows without a value.
+NO_PROBLEM = "__HIVE_DEFAULT_PARTITION__"
+#: Characters that Spark escapes in the names of such folders.
+ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+
+
+def write_labelled_texts(df: DataFrame, path: str, folders: Sequence[str], text: str = "text") -> None:
+    """One *.txt file per row, its text and a line end, in folders named `column=value` as Spark names them.
+
+    Hadoop's local file system starts a process for every file that it makes, to set its mode. On a local (or mounted) folder each
+    task therefore writes the files itself, below a folder of its own; folders of attempts that did not finish are removed. Other
+    stores are written by Spark.
+    """
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() != "file":
+        df.select(*folders, text).write.option("maxRecordsPerFile", 1).partitionBy(*folders).text(path)
+        return
+    place = store.makeQualified(target).toUri().getPath()
+    os.makedirs(place)
+    names = list(folders)
+
+    def write(batches):
+        context, made, n = TaskContext.get(), set(), 0
+        mine = f"texts-{context.partitionId():05d}-{context.taskAttemptId()}"
+        for batch in batches:
+            for *values, content in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
+                parts = [f"{name}={ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', v) if v else NO_PROBLEM}" for name, v in zip(names, values)]
+                folder = os.path.join(place, mine, *parts)
+                if folder not in made:
+                    os.makedirs(folder)
+                    made.add(folder)
+                with open(os.path.join(folder, f"part-{n:07d}.txt"), "wb") as f:
+                    f.write((content or b"") + b"\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"folder": [mine]})
+
+    rows = df.select(*[F.col(c).cast("string").alias(c) for c in names], F.col(text).cast("binary"))
+    done = {r["folder"] for r in rows.mapInArrow(write, "folder string").collect()}
+    for left in set(os.listdir(place)) - done:
+        shutil.rmtree(os.path.join(place, left), ignore_errors=True)
+
+
 def read_labelled_texts(spark: SparkSession, path: str) -> DataFrame:
     """(problem, label, filename, text) of every *.txt below path; the folders give problem and label."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
@@ -86,10 +135,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", decode_page(F.col("content")).alias("text"))
 
 
-#: How Spark names the folder of rows without a value.
-NO_PROBLEM = "__HIVE_DEFAULT_PARTITION__"
-
-
 def write_answers(df: DataFrame, path: str) -> None:
     """(problem, unknown-text, predicted-author): one file `answers-<problem>.json` per problem, an array of objects by text.
 

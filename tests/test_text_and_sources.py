@@ -159,3 +159,28 @@ def test_char_ngrams_are_found_without_a_lambda_per_character(spark):
     found = df.select(T.char_ngrams(F.col("t"), 3, 3).alias("g"))
     assert [r["g"] for r in found.collect()] == [[text[:3], text[1:4], text[2:]], [], [], []]
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labelled_texts_are_one_plain_file_each(spark, tmp_path):
+    want = [("en", "a", "one"), ("en", "a", "one"), ("en", None, "two\nlines"), ("", "b c", ""), ("fr", "b", None)]
+    df = spark.createDataFrame(want, "lang string, source string, text string")
+    path = str(tmp_path / "texts")
+    S.write_labelled_texts(df, path, ["lang", "source"])
+    files = [f for _, _, names in os.walk(path) for f in names]
+    # no second file with check sums, which Hadoop's local file system adds
+    assert len(files) == 5 and all(f.endswith(".txt") for f in files)
+    none = S.NO_PROBLEM
+    got = sorted((r["problem"], r["label"], r["text"]) for r in S.read_labelled_texts(spark, path).collect())
+    assert got == sorted([("en", "a", "one\n"), ("en", "a", "one\n"), ("en", none, "two\nlines\n"), (none, "b c", "\n"), ("fr", "b", "\n")])
+
+
+def test_labelled_text_files_makes_one_file_per_text(spark, tmp_path):
+    from analystry.registry import QUERIES
+    from analystry.session import shared_folder
+
+    spark.createDataFrame([(i, f"text {i % 7}", "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    base = os.path.join(shared_folder(spark), "analystry")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    assert sum(r["n"] for r in QUERIES["labelled_text_files"](spark, str(tmp_path)).collect()) == 20
+    [new] = set(os.listdir(base)) - before
+    assert sum(len(names) for _, _, names in os.walk(os.path.join(base, new))) == 20
