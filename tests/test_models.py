@@ -196,3 +196,26 @@ def test_wide_projection_equals_the_full_decomposition(spark):
     assert components.shape == (2500, kept) and np.allclose(shares, share[:kept], atol=1e-8) and np.allclose(components.T @ components, np.eye(kept), atol=1e-9)
     got = np.array([r["p"] for r in M.project(df, "features", "p", mean, components).orderBy("id").select(vector_to_array("p").alias("p")).collect()])
     assert np.allclose(np.abs(got), np.abs(centred @ vt[:kept].T), atol=1e-7)
+
+
+def test_topics_of_a_large_vocabulary_stay_in_rows(spark, monkeypatch):
+    from analystry.plans import words as V
+
+    # two planted topics of 30 words each, every document of one of them
+    rows = spark.range(2000).select(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(
+        F.when(F.col("id") % 2 == 0, "x").otherwise("y"), F.pmod(F.xxhash64("id", i), F.lit(30)).cast("string"))).alias("words"))
+    monkeypatch.setattr(V, "LDA", None)
+    found = V.topics(rows, "words", k=2, n_top=30, most_terms=10)
+    assert found.columns == ["topic", "term", "weight", "rnk", "share"]
+    got = found.collect()
+    assert len(got) == 60 and [r["rnk"] for r in got if r["topic"] == 0] == list(range(1, 31))
+    of = {t: [r["term"][0] for r in got if r["topic"] == t] for t in (0, 1)}
+    heads = {max("xy", key=of[t].count) for t in of}
+    assert heads == {"x", "y"}
+
+
+def test_digamma_and_trigamma():
+    from analystry.plans.words import digamma, trigamma
+
+    assert digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-10) and digamma(0.5) == pytest.approx(-1.9635100260214235, abs=1e-10)
+    assert trigamma(1.0) == pytest.approx(np.pi ** 2 / 6, abs=1e-9) and trigamma(0.5) == pytest.approx(np.pi ** 2 / 2, abs=1e-9)
