@@ -139,9 +139,13 @@ def logistic_cv(n: int, folds: int = 3, exponents: Sequence[float] = EXPONENTS,
 
 
 def recursive_elimination(df: DataFrame, features: Sequence[str], label: str, keep: int = 5, c: float = 1.0) -> list[str]:
-    """Drop the feature with the smallest squared weight of a linear SVM until `keep` are left."""
+    """Drop the feature with the smallest squared weight of a linear SVM until `keep` are left.
+
+    A fit takes hundreds of short passes, so a pass has at most one task per core, however many splits the input has.
+    """
     from pyspark.ml.feature import VectorAssembler
 
+    df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
     left, n = list(features), df.count()
     while len(left) > keep:
         rows = VectorAssembler(inputCols=left, outputCol="_v").transform(df)

@@ -198,6 +198,20 @@ def test_wide_projection_equals_the_full_decomposition(spark):
     assert np.allclose(np.abs(got), np.abs(centred @ vt[:kept].T), atol=1e-7)
 
 
+def test_elimination_passes_have_at_most_one_task_per_core(spark, monkeypatch):
+    n, fit, seen = spark.sparkContext.defaultParallelism, M.C.LinearSVC.fit, []
+    rows = spark.range(400, numPartitions=5 * n).select(
+        (F.col("id") % 2).cast("int").alias("y"), ((F.col("id") % 2) * 2 - 1 + F.sin("id") / 10).alias("a"), F.cos("id").alias("b"), F.sin(F.col("id") * 7).alias("c"))
+
+    def counted(self, df):
+        seen.append(df.rdd.getNumPartitions())
+        return fit(self, df)
+
+    monkeypatch.setattr(M.C.LinearSVC, "fit", counted)
+    assert "a" in M.recursive_elimination(rows, ["a", "b", "c"], "y", keep=2)
+    assert len(seen) == 1 and max(seen) <= n
+
+
 def test_topics_of_a_large_vocabulary_stay_in_rows(spark, monkeypatch):
     from analystry.plans import words as V
 
