@@ -1,12 +1,16 @@
 """From a collection folder to answer files, and stages that are saved and read again."""
 
 import json
+import math
 import os
+from collections import Counter
 
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
+from analystry.operators import features as X
+from analystry.operators.run_counts import Runs, document_counter
 from analystry.plans import authorship as A
 
 STYLES = {"c1": "the cat sat on the mat and the cat ran ", "c2": "of wine and bread she sang, of wine! ", "c3": "12 numbers 34 go 56 up 78 "}
@@ -61,3 +65,32 @@ def test_stages_keep_their_settings(spark, tmp_path):
     model.save(str(tmp_path / "model"))
     found = PipelineModel.load(str(tmp_path / "model")).transform(docs.where("text IS NOT NULL"))
     assert found.where(F.col("prediction") == F.col("_y")).count() == 9
+
+
+def test_features_of_shards_against_counting(spark, monkeypatch):
+    monkeypatch.setattr(X, "SHARD_TEXTS", 3)
+    texts = ["banana bandana", "a banana", "", None, "cab a cab", "bananas", "x", "nab a ban"]
+    rows = [(p * 100 + k, f"p{p}", "unknown" if k % 4 == 3 else "candidate", f"a{k % 2}", t) for p in range(2) for k, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, problem string, role string, label string, text string")
+    found = {r["doc_id"]: dict(zip(r["i"] or [], r["v"] or [])) for r in A.text_features(docs, X.char_terms("text", 1, 2), min_df=0.2).collect()}
+    assert len(found) == len(rows)
+    for p in range(2):
+        mine = {k: Counter(t[i:i + n] for n in (1, 2) for i in range(len(t) - n + 1)) for k, q, _, _, t in rows if q == f"p{p}" for t in [t or ""]}
+        known = [k for k, q, role, _, _ in rows if q == f"p{p}" and role == "candidate"]
+        df = Counter(t for k in known for t in mine[k])
+        terms = sorted(t for t, n in df.items() if n >= 0.2 * len(known))
+        raw = {k: {t: (1 + math.log(c[t])) * (math.log((1 + len(known)) / (1 + df[t])) + 1) for t in terms if t in c} for k, c in mine.items()}
+        unit = {k: {t: w / math.sqrt(sum(x * x for x in r.values())) for t, w in r.items()} for k, r in raw.items()}
+        top = {t: max(unit[k].get(t, 0) for k in known) for t in terms}
+        for k, r in unit.items():
+            assert found[k] == pytest.approx({terms.index(t): w / top[t] for t, w in r.items()})
+
+
+def test_vocabulary_hands_on_runs_not_documents(spark):
+    """Three hundred texts of one batch give each run once, not once per text, and texts without a place of their own are not lost."""
+    docs = spark.range(300).select(F.lit("p").alias("problem"), F.lit("abcab").alias("text")).coalesce(1)
+    counted = docs.mapInArrow(document_counter(Runs(None, 1, 2)), "problem string, term string, df long")
+    assert sorted(map(tuple, counted.collect())) == [("p", t, 300) for t in ("a", "ab", "b", "bc", "c", "ca")]
+    words = spark.createDataFrame([("p", ["a b", "c"]), ("p", ["a", "b c"]), ("q", None)], "problem string, words array<string>")
+    counted = words.coalesce(1).mapInArrow(document_counter(Runs(None, 1, 2, " ")), "problem string, term string, df long")
+    assert sorted(map(tuple, counted.collect())) == [("p", t, n) for t, n in (("a", 1), ("a b", 1), ("a b c", 2), ("b c", 1), ("c", 1))]
