@@ -198,6 +198,32 @@ def test_wide_projection_equals_the_full_decomposition(spark):
     assert np.allclose(np.abs(got), np.abs(centred @ vt[:kept].T), atol=1e-7)
 
 
+def test_narrow_features_take_one_pass_and_hopeless_rounds_are_left_out(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    rng, once, passes = np.random.default_rng(5), M._covariance_times, []
+    monkeypatch.setattr(M, "_covariance_times", lambda *a: passes.append(1) or once(*a))
+    for width, most in ((40, 1), (2500, 10)):
+        x = np.where(rng.uniform(size=(100, width)) < 0.3, rng.normal(size=(100, width)), 0.0)
+        rows = [(Vectors.sparse(width, {int(j): float(r[j]) for j in np.flatnonzero(r)}),) for r in x]
+        _, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+        share = s ** 2 / (s ** 2).sum()
+        kept = int(np.searchsorted(np.cumsum(share), 0.95 - 1e-9)) + 1
+        passes.clear()
+        _, components, shares = M.truncated_pca(spark.createDataFrame(rows, ["features"]), "features", 0.95)
+        assert len(passes) <= most and np.allclose(shares, share[:kept], atol=1e-9)
+        assert np.allclose(np.abs((components * vt[:kept].T).sum(axis=0)), 1, atol=1e-6)
+
+
+def test_blocks_of_very_many_features(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    x, q = np.random.default_rng(6).normal(size=(20, 30)), np.eye(30)[:, :4]
+    rows = spark.createDataFrame([(Vectors.sparse(30, {j: float(r[j]) for j in range(k % 3, 30, 3)}),) for k, r in enumerate(x)], ["f"])
+    kept = np.where(np.arange(30) % 3 == np.arange(20)[:, None] % 3, x, 0.0)
+    monkeypatch.setattr(M, "PCA_DENSE", 16)
+    found = M._covariance_times(rows.select(M.entries("f").alias("e")).select("e.i", "e.v"), kept.mean(axis=0), q, 20)
+    assert np.allclose(found, np.cov(kept.T) @ q)
+
+
 def test_elimination_passes_have_at_most_one_task_per_core(spark, monkeypatch):
     n, fit, seen = spark.sparkContext.defaultParallelism, M.C.LinearSVC.fit, []
     rows = spark.range(400, numPartitions=5 * n).select(
