@@ -86,6 +86,15 @@ def test_features_of_shards_against_counting(spark, monkeypatch):
             assert found[k] == pytest.approx({terms.index(t): w / top[t] for t, w in r.items()})
 
 
+def test_rows_with_one_key_are_one_document(spark):
+    rows = [(k, "p", "candidate", "a", t) for k, t in [(1, "ab"), (1, "ab"), (2, "ab"), (None, "ab"), (3, "b")]]
+    docs = spark.createDataFrame(rows, "doc_id long, problem string, role string, label string, text string")
+    found = sorted((r["doc_id"] or 0, r["i"], [round(v, 9) for v in r["v"] or []]) for r in A.text_features(docs, X.char_terms("text", 1, 1)).collect())
+    half = round(math.sqrt(0.5), 9)
+    assert found[0] == (0, None, []) and found[1] == found[2] and found[1][1] == [0, 0, 1, 1] and found[3][1] == [0, 1] and found[4][1:] == ([1], [1.0])
+    assert found[1][2][:2] == [half, half] and found[3][2][0] == 1.0
+
+
 def test_vocabulary_hands_on_runs_not_documents(spark):
     """Three hundred texts of one batch give each run once, not once per text, and texts without a place of their own are not lost."""
     docs = spark.range(300).select(F.lit("p").alias("problem"), F.lit("abcab").alias("text")).coalesce(1)
