@@ -149,7 +149,7 @@ def _(spark, sf_dir):
 @query("model_feature_elimination")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    names = [f"f{i}" for i in range(8)]
+    names = [f"f{i}" for i in range(64)]
     df = e.select((F.col("label") == 1).cast("int").alias("y"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
     kept = M.recursive_elimination(df, names, "y", keep=5)
     return df.agg(*[F.round(F.avg(c), 6).alias(c) for c in kept])

@@ -238,6 +238,26 @@ def test_elimination_passes_have_at_most_one_task_per_core(spark, monkeypatch):
     assert len(seen) == 1 and max(seen) <= n
 
 
+def test_elimination_fits_the_least_hinge_loss(spark):
+    x = np.random.default_rng(2).normal(size=(300, 6))
+    y = (x @ [3.0, -2.0, 1.0, 0.5, 0.2, 0.0] + np.random.default_rng(3).normal(size=300) > 0).astype(int)
+    blocks = spark.sparkContext.parallelize([(x[:200], 2.0 * y[:200] - 1), (x[200:], 2.0 * y[200:] - 1)], 2)
+    w = M._hinge_weights(blocks, [0, 1, 2], np.zeros(4), M.BENDS, 1.0)
+    value = lambda w: (w[:3] @ w[:3]) / 2 + np.maximum(0, 1 - (2 * y - 1) * (x[:, :3] @ w[:3] + w[3])).sum()
+    draw = np.random.default_rng(4)
+    assert all(value(w) <= value(w + draw.normal(scale=s, size=4)) * (1 + 1e-3) for s in (1e-3, 1e-2, 0.1, 1.0) for _ in range(50))
+
+
+def test_elimination_query_takes_all_dimensions(spark, tmp_path):
+    from analystry.registry import QUERIES
+
+    # only the last five of 64 dimensions tell label 1 from the others
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in np.append(draw.normal(scale=0.1, size=59), (2 * (i % 2 == 1) - 1) + draw.normal(scale=0.5, size=5))], 1 if i % 2 else 3) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["model_feature_elimination"](spark, str(tmp_path)).columns == [f"f{i}" for i in range(59, 64)]
+
+
 def test_topics_of_a_large_vocabulary_stay_in_rows(spark, monkeypatch):
     from analystry.plans import words as V
 
