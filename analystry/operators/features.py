@@ -20,13 +20,15 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from analystry.functions import text as T
 from analystry.operators.ordering import ordered_index
 from analystry.operators.quantiles import scalars
-from analystry.operators.run_counts import Runs, counter, document_counter, known_counts
+from analystry.operators.run_counts import Runs, counter, document_counter, known_counts, weigher
 from analystry.session import cut_lineage, scratch_path, spread
 
 #: Texts whose vectors are made together, on average.
 SHARD_TEXTS = 256
 #: Frequent short runs that are sent to the tasks.
 MOST_MARKERS = 8192
+#: Terms of a vocabulary that are sent to the tasks.
+MOST_TERMS = 1 << 16
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], terms: Column | Runs) -> DataFrame:
@@ -53,8 +55,9 @@ def frequent_runs(docs: DataFrame, items: Column, low: int, high: int, glue: str
     not sent to the tasks and every run is formed, which gives the same vocabulary.
     """
     n = docs.count()
-    short = term_counts(docs, [], Runs(items, marker, marker, glue))
-    found = (short.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    texts = spread(docs).select(F.lit(0).alias("_all"), items.alias("_items"))
+    short = texts.mapInArrow(document_counter(Runs(None, marker, marker, glue)), "_all int, term string, df long")
+    found = (short.groupBy("term").agg(F.sum("df").alias("df"))
              .where(F.col("df") >= F.lit(float(n)) * min_df).select("term").limit(MOST_MARKERS + 1).collect())
     if len(found) > MOST_MARKERS:
         return Runs(items, low, high, glue)
@@ -166,6 +169,30 @@ def tfidf(counts: DataFrame, terms: DataFrame, keys: Sequence[str], by: Sequence
     return weighted.select(*keys, "term", (F.col("_w") / norm).alias("weight"))
 
 
+def text_weights(docs: DataFrame, runs: Runs, keys: Sequence[str], min_df: float = 0.0, max_df: float = 1.0) -> DataFrame:
+    """(keys..., term, weight) as `tfidf` gives it over the counts and the `vocabulary` of docs, straight from the texts.
+
+    The texts are counted twice, for the vocabulary and for the weights; no row per document and term is written or shuffled, but those
+    of texts that share their keys, which are of unit length together. A vocabulary of more than MOST_TERMS terms is joined to
+    written counts.
+    """
+    names, vocabulary_of = list(keys), docs.withColumn("_all", F.lit(0))
+    terms = kept(run_vocabulary(vocabulary_of, runs, "_all", names[0], min_df).where(F.col("df") <= F.col("n") * max_df).drop("_all"), "vocabulary")
+    if terms.count() > MOST_TERMS:
+        return tfidf(kept(term_counts(docs, names, runs)), terms, names)
+    known = terms.select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).orderBy("term").collect()
+    alone, repeated = docs, kept(docs.groupBy(*names).count().where("count > 1").select(*[F.col(c).alias(f"_{c}") for c in names]), "repeated")
+    again = None
+    if repeated.limit(1).count():
+        same = [docs[c].eqNullSafe(repeated[f"_{c}"]) for c in names]
+        alone = docs.join(repeated, same, "left_anti")
+        again = tfidf(kept(term_counts(docs.join(repeated, same, "left_semi"), names, runs)), terms, names)
+    placed = spread(alone, *names).select(*names, runs.items.alias("_items"))
+    schema = StructType([*placed.select(*names).schema.fields, StructField("term", StringType()), StructField("weight", DoubleType())])
+    found = placed.mapInArrow(weigher(runs, [r["term"] for r in known], [r["idf"] for r in known]), schema)
+    return found if again is None else found.unionByName(again)
+
+
 def max_abs_terms(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., term, top): the largest absolute weight of each term."""
     return weights.groupBy(*by, "term").agg(F.max(F.abs("weight")).alias("top"))

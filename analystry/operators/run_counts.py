@@ -156,28 +156,29 @@ def counter(runs: Runs) -> Callable:
     return count
 
 
-def _placed(words: pa.Array, ids: np.ndarray, sizes: np.ndarray, runs: Runs):
+def _placed(words: pa.Array, ids: np.ndarray, sizes: np.ndarray, runs: Runs, allowed: pa.Array | None = None):
     """(document, place, tf, names) of some documents, once per length of run: a run's text is names[place], each text being one name."""
     if runs.high > 1 and _ambiguous(words, runs.glue):
-        for document, term, tf in _merged(_counted(words, ids, sizes, runs, None)):
+        for document, term, tf in _merged(_counted(words, ids, sizes, runs, allowed)):
             named = term.dictionary_encode()
             yield document, named.indices.to_numpy(), tf, named.dictionary
         return
-    for document, code, tf, codes in _coded(words, ids, sizes, runs, None):
+    for document, code, tf, codes in _coded(words, ids, sizes, runs, allowed):
         found, place = np.unique(code, return_inverse=True)
         yield document, place, tf, codes.names(found)
 
 
 def document_counter(runs: Runs) -> Callable:
     """A function over batches of (group, items) that gives (group, term, df): how many of the documents it meets have the run."""
-    settings = Runs(None, runs.low, runs.high, runs.glue)
+    settings, kept = Runs(None, runs.low, runs.high, runs.glue, runs.marker), None if runs.allowed is None else list(runs.allowed)
 
     def count(batches):
+        allowed = None if kept is None else pa.array(kept, pa.string())
         for batch in batches:
             groups = batch.column(0).dictionary_encode()
             group = groups.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             for first, sizes, ids, words in _stretches(batch.column(1)):
-                for document, place, _, names in _placed(words, ids, sizes, settings):
+                for document, place, _, names in _placed(words, ids, sizes, settings, allowed):
                     base = max(len(names), 1)
                     pair, df = np.unique(group[document + first] * base + place, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
@@ -198,6 +199,32 @@ def known_counts(items: pa.Array, runs: Runs, terms: pa.Array) -> tuple[np.ndarr
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
+def weigher(runs: Runs, terms: Sequence[str], idf: Sequence[float], sublinear: bool = True) -> Callable:
+    """A function over batches of (keys..., items) that gives (keys..., term, weight): TF-IDF of the given terms, of unit length in each row."""
+    settings, kept = Runs(None, runs.low, runs.high, runs.glue, runs.marker), None if runs.allowed is None else list(runs.allowed)
+    terms, idf = list(terms), np.asarray(idf, float)
+
+    def weigh(batches):
+        allowed = None if kept is None else pa.array(kept, pa.string())
+        known = pa.array(terms, pa.string())
+        for batch in batches:
+            keys, names_of = batch.columns[:-1], [*batch.schema.names[:-1], "term", "weight"]
+            for first, sizes, ids, words in _stretches(batch.column(batch.num_columns - 1)):
+                parts, square = [], np.zeros(len(sizes))
+                for document, place, tf, names in _placed(words, ids, sizes, settings, allowed):
+                    at = pc.fill_null(pc.index_in(names, value_set=known), -1).to_numpy(zero_copy_only=False)[place]
+                    document, at, tf = document[at >= 0], at[at >= 0], tf[at >= 0]
+                    weight = (1 + np.log(tf) if sublinear else tf) * idf[at]
+                    square += np.bincount(document, weight ** 2, len(sizes))
+                    parts.append((document, at, weight))
+                norm = np.sqrt(square)
+                for document, at, weight in parts:
+                    place = pa.array(document + first)
+                    yield pa.RecordBatch.from_arrays([*[k.take(place) for k in keys], known.take(pa.array(at)), pa.array(weight / norm[document])], names=names_of)
+
+    return weigh
+
+
 def _ambiguous(words: pa.Array, glue: str) -> bool:
     """Can two runs be the same text?"""
     return bool(pc.any(pc.match_substring(words, glue) if glue else pc.not_equal(pc.utf8_length(words), 1)).as_py())

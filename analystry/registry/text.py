@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from analystry.functions import text as T
 from analystry.functions.stopwords import ENGLISH
 from analystry.operators import features as X
+from analystry.operators.run_counts import Runs
 from analystry.registry.book import query, rounded
 from analystry.session import table
 
@@ -16,6 +17,8 @@ def documents(spark, sf_dir):
 
 
 def weighted(df, terms, keys=("doc_id",), min_df=0.05, max_df=1.0):
+    if isinstance(terms, Runs):
+        return X.text_weights(df, terms, keys, min_df, max_df)
     counts = X.kept(X.term_counts(df, list(keys), terms))
     # written, its size is known: a small vocabulary goes to the counts, which are then not shuffled by term
     terms = X.kept(X.vocabulary(counts, df, min_df=min_df, max_df=max_df), "vocabulary")

@@ -66,6 +66,28 @@ def test_too_many_markers_form_every_run(docs, monkeypatch):
     assert found(X.term_counts(docs, ["doc_id"], runs)) == expected(str.split, 1, 3, " ")
 
 
+@pytest.mark.parametrize("most", [1 << 16, 3])
+def test_weights_straight_from_the_texts_equal_those_of_written_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(X, "MOST_TERMS", most)
+    # keys that repeat, or are null, share one unit length
+    docs = spark.createDataFrame([*TEXTS, (1, "cc aa"), (None, "aa bb"), (None, "bb cc bb")], "doc_id long, text string")
+    runs = X.frequent_runs(docs, T.word_tokens(F.col("text")), 1, 3, " ", 1, 0.25)
+    counts = X.term_counts(docs, ["doc_id"], runs)
+    want = X.tfidf(counts, X.vocabulary(counts, docs, min_df=0.25, max_df=0.6), ["doc_id"])
+    cells = lambda rows: sorted((str(r["doc_id"]), r["term"], round(r["weight"], 9)) for r in rows.collect())
+    assert cells(X.text_weights(docs, runs, ["doc_id"], 0.25, 0.6)) == cells(want) != []
+
+
+def test_tfidf_of_texts_writes_no_counts(spark, tmp_path, monkeypatch):
+    from analystry.registry import QUERIES
+
+    spark.createDataFrame([(i, "en", f"text {i % 3} of some words") for i in range(20)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(X, "term_counts", None)
+    found = QUERIES["tfidf_char_ngrams"](spark, str(tmp_path))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 20
+
+
 def test_hashed_texts_are_not_made_dense(spark, tmp_path):
     from analystry.registry.book import QUERIES
     spark.createDataFrame([(1, "x", "pear plum pear"), (2, "x", ""), (3, "x", None)], "doc_id long, lang string, text string").write.parquet(
