@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from analystry.session import scratch_path
+from analystry.session import cut_lineage, scratch_path
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str, schema: str) -> DataFrame:
@@ -108,8 +108,87 @@ def write_labelled_texts(df: DataFrame, path: str, folders: Sequence[str], text:
         shutil.rmtree(os.path.join(place, left), ignore_errors=True)
 
 
+#: Texts that a task reads, and bytes of texts that it hands on at once.
+TASK_TEXTS, BATCH_BYTES = 4096, 16 << 20
+
+
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The place of a folder on a local or mounted disk; None in other stores and for patterns."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    place = store.makeQualified(target).toUri().getPath()
+    return place if store.getUri().getScheme() == "file" and os.path.isdir(place) else None
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers leave out."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def text_files(spark: SparkSession, place: str, ending: str = ".txt") -> DataFrame:
+    """(path, content) of every file below a local or mounted folder that is not empty and whose name has the ending, by the tasks.
+
+    The driver holds no file names: it goes down one level of folders at a time, and only sees how many there are.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+
+    def below(batches):
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                with os.scandir(top) as found:
+                    inner = [e.path for e in found if not _hidden(e.name) and e.is_dir()]
+                yield pa.RecordBatch.from_pydict({"path": pa.array(inner, pa.string())})
+
+    def files(batches):
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                some = []
+                with os.scandir(top) as found:
+                    for e in found:
+                        if e.name.endswith(ending) and not _hidden(e.name) and e.is_file():
+                            some.append(e.path)
+                        if len(some) == TASK_TEXTS:
+                            yield pa.RecordBatch.from_pydict({"path": pa.array(some, pa.string())})
+                            some = []
+                yield pa.RecordBatch.from_pydict({"path": pa.array(some, pa.string())})
+
+    def read(batches):
+        for batch in batches:
+            paths, contents, held = [], [], 0
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    content = f.read()
+                if not content:
+                    continue
+                paths.append(path)
+                contents.append(content)
+                held += len(content)
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.binary())})
+                    paths, contents, held = [], [], 0
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.binary())})
+
+    level = spark.createDataFrame([(place,)], "path string")
+    folders, some = level, 1
+    while some:
+        level = cut_lineage(level.repartition(min(some, 4 * tasks)).mapInArrow(below, "path string"))
+        folders, some = folders.unionByName(level), level.count()
+    names = cut_lineage(folders.repartition(4 * tasks).mapInArrow(files, "path string"))
+    return names.repartition(max(tasks, -(-names.count() // TASK_TEXTS))).mapInArrow(read, "path string, content binary")
+
+
 def read_labelled_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(problem, label, filename, text) of every *.txt below path; the folders give problem and label."""
+    """(problem, label, filename, text) of every *.txt below path; the folders give problem and label.
+
+    On a local or mounted folder the tasks list and read the files, for Spark's readers list every file in the driver.
+    """
+    place = _local_folder(spark, path)
+    if place is not None:
+        files = text_files(spark, place).select("path", F.col("content").cast("string").alias("value"))
+        parts = F.split("path", "/")
+        # a plus sign is a blank, as it is when the name is read from the address of a file
+        folder = lambda depth: F.translate(F.regexp_replace(F.element_at(parts, depth), "^[^=]*=", ""), "+", " ")
+        return files.select(folder(-3).alias("problem"), folder(-2).alias("label"), F.element_at(parts, -1).alias("filename"), F.col("value").alias("text"))
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     folder = lambda depth: F.url_decode(F.regexp_replace(F.element_at(parts, depth), "^[^=]*=", ""))

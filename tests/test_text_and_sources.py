@@ -184,3 +184,21 @@ def test_labelled_text_files_makes_one_file_per_text(spark, tmp_path):
     assert sum(r["n"] for r in QUERIES["labelled_text_files"](spark, str(tmp_path)).collect()) == 20
     [new] = set(os.listdir(base)) - before
     assert sum(len(names) for _, _, names in os.walk(os.path.join(base, new))) == 20
+
+
+def test_texts_are_listed_and_read_by_the_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "TASK_TEXTS", 3)
+    path = tmp_path / "texts"
+    made = [("lang=é a", "source=b%2Fc+d"), ("x", "y"), ("_p=1", "=z"), ("_left", "out"), (".left", "out")]
+    for folder in made:
+        (path / "top").joinpath(*folder).mkdir(parents=True)
+        for i in range(7):
+            (path / "top").joinpath(*folder, f"t{i}.txt").write_bytes(b"" if i == 6 else f"one {i}\r\n é".encode() + b"\xff" * (i == 5))
+        (path / "top").joinpath(*folder, ".hidden.txt").write_text("no")
+    columns = ["problem", "label", "filename", F.hex(F.col("text").cast("binary")).alias("h")]
+    got = S.read_labelled_texts(spark, str(path))
+    assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(S, "_local_folder", lambda *_: None)
+    want = S.read_labelled_texts(spark, str(path))
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert got.count() == 18  # empty files have no row
