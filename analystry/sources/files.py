@@ -112,7 +112,7 @@ def write_labelled_texts(df: DataFrame, path: str, folders: Sequence[str], text:
 TASK_TEXTS, BATCH_BYTES = 4096, 16 << 20
 
 
-def _local_folder(spark: SparkSession, path: str) -> str | None:
+def local_folder(spark: SparkSession, path: str) -> str | None:
     """The place of a folder on a local or mounted disk; None in other stores and for patterns."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -125,10 +125,10 @@ def _hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
 
 
-def text_files(spark: SparkSession, place: str, ending: str = ".txt") -> DataFrame:
-    """(path, content) of every file below a local or mounted folder that is not empty and whose name has the ending, by the tasks.
+def listed_files(spark: SparkSession, place: str, ending: str = "", within: str = "") -> DataFrame:
+    """(path) of the files of a local or mounted folder, and of the folders in it whose names hold `within`, whose names have the ending.
 
-    The driver holds no file names: it goes down one level of folders at a time, and only sees how many there are.
+    Tasks list the folders. The driver holds no names: it goes down one level of folders at a time, and only sees how many there are.
     """
     tasks = spark.sparkContext.defaultParallelism
 
@@ -136,7 +136,7 @@ def text_files(spark: SparkSession, place: str, ending: str = ".txt") -> DataFra
         for batch in batches:
             for top in batch.column(0).to_pylist():
                 with os.scandir(top) as found:
-                    inner = [e.path for e in found if not _hidden(e.name) and e.is_dir()]
+                    inner = [e.path for e in found if within in e.name and not _hidden(e.name) and e.is_dir()]
                 yield pa.RecordBatch.from_pydict({"path": pa.array(inner, pa.string())})
 
     def files(batches):
@@ -152,6 +152,16 @@ def text_files(spark: SparkSession, place: str, ending: str = ".txt") -> DataFra
                             some = []
                 yield pa.RecordBatch.from_pydict({"path": pa.array(some, pa.string())})
 
+    level = spark.createDataFrame([(place,)], "path string")
+    folders, some = level, 1
+    while some:
+        level = cut_lineage(level.repartition(min(some, 4 * tasks)).mapInArrow(below, "path string"))
+        folders, some = folders.unionByName(level), level.count()
+    return cut_lineage(folders.repartition(4 * tasks).mapInArrow(files, "path string"))
+
+
+def file_contents(names: DataFrame) -> DataFrame:
+    """(path, content) of the files in `path` that are not empty, read by tasks of at most about TASK_TEXTS files."""
     def read(batches):
         for batch in batches:
             paths, contents, held = [], [], 0
@@ -168,13 +178,8 @@ def text_files(spark: SparkSession, place: str, ending: str = ".txt") -> DataFra
                     paths, contents, held = [], [], 0
             yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.binary())})
 
-    level = spark.createDataFrame([(place,)], "path string")
-    folders, some = level, 1
-    while some:
-        level = cut_lineage(level.repartition(min(some, 4 * tasks)).mapInArrow(below, "path string"))
-        folders, some = folders.unionByName(level), level.count()
-    names = cut_lineage(folders.repartition(4 * tasks).mapInArrow(files, "path string"))
-    return names.repartition(max(tasks, -(-names.count() // TASK_TEXTS))).mapInArrow(read, "path string, content binary")
+    tasks = max(names.sparkSession.sparkContext.defaultParallelism, -(-names.count() // TASK_TEXTS))
+    return names.select("path").repartition(tasks).mapInArrow(read, "path string, content binary")
 
 
 def read_labelled_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -182,9 +187,9 @@ def read_labelled_texts(spark: SparkSession, path: str) -> DataFrame:
 
     On a local or mounted folder the tasks list and read the files, for Spark's readers list every file in the driver.
     """
-    place = _local_folder(spark, path)
+    place = local_folder(spark, path)
     if place is not None:
-        files = text_files(spark, place).select("path", F.col("content").cast("string").alias("value"))
+        files = file_contents(listed_files(spark, place, ".txt")).select("path", F.col("content").cast("string").alias("value"))
         parts = F.split("path", "/")
         # a plus sign is a blank, as it is when the name is read from the address of a file
         folder = lambda depth: F.translate(F.regexp_replace(F.element_at(parts, depth), "^[^=]*=", ""), "+", " ")

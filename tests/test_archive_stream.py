@@ -31,3 +31,18 @@ def test_pages_are_parsed_once(spark, tmp_path, monkeypatch):
     found = archive.archive_stream(spark, *paths)
     assert sorted((r["slug"], r["file"], r["day"]) for r in found.collect()) == wanted
     assert parsed.value == 2
+
+
+def test_the_driver_does_not_list_the_pages(spark, tmp_path):
+    source, target, state = (tmp_path / n for n in ("in", "out", "state"))
+    source.mkdir()
+    for k in range(2):
+        for i in range(60):
+            (source / f"{k}-{i}.txt").write_text(page(post(f"p{k}-{i}", "2024-01-02", f"http://x/{i}.jpg")))
+        found = archive.archive_stream(spark, str(source), str(target), str(state))
+        assert found.count() == 60 * (k + 1)
+    # what the stream remembers are a few tables of names, however many pages there are
+    logs = "".join(f.read_text() for f in state.rglob("*") if f.is_file() and f.parent.parent.name == "sources" and not f.name.startswith("."))
+    assert logs and ".txt" not in logs and logs.count('"path"') < 60
+    names = spark.read.parquet(str(state / "pages"))
+    assert names.count() == names.distinct().count() == 120

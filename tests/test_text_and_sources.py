@@ -198,7 +198,7 @@ def test_texts_are_listed_and_read_by_the_tasks(spark, tmp_path, monkeypatch):
     columns = ["problem", "label", "filename", F.hex(F.col("text").cast("binary")).alias("h")]
     got = S.read_labelled_texts(spark, str(path))
     assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(S, "_local_folder", lambda *_: None)
+    monkeypatch.setattr(S, "local_folder", lambda *_: None)
     want = S.read_labelled_texts(spark, str(path))
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     assert got.count() == 18  # empty files have no row
