@@ -103,3 +103,19 @@ def test_vocabulary_hands_on_runs_not_documents(spark):
     words = spark.createDataFrame([("p", ["a b", "c"]), ("p", ["a", "b c"]), ("q", None)], "problem string, words array<string>")
     counted = words.coalesce(1).mapInArrow(document_counter(Runs(None, 1, 2, " ")), "problem string, term string, df long")
     assert sorted(map(tuple, counted.collect())) == [("p", t, n) for t, n in (("a", 1), ("a b", 1), ("a b c", 2), ("b c", 1), ("c", 1))]
+
+
+def test_term_runs_and_vocabulary_equal_the_column_form(spark):
+    from pyspark.ml.feature import CountVectorizer
+
+    from analystry.functions import text as T
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["aa bb aa cc", "bb aa", "", None, "dd", "aa bb cc dd ee"])], "k int, text string")
+    text = F.coalesce("text", F.lit(""))
+    for words, low, high in ((True, 1, 2), (True, 2, 3), (False, 2, 5)):
+        found = A.TermRuns(words=words, low=low, high=high).transform(rows)
+        plain = T.word_ngrams(T.word_tokens(text), low, high) if words else T.all_char_ngrams(text, low, high)
+        assert all(r["terms"] == r["p"] for r in found.withColumn("p", plain).collect())
+        for least in (0.3, 2.0):
+            settings = dict(inputCol="terms", outputCol="v", minDF=least)
+            assert sorted(A.TermVectorizer(**settings).fit(found).vocabulary) == sorted(CountVectorizer(**settings).fit(found).vocabulary)
